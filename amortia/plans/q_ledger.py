@@ -1 +1,43 @@
-"""Queries (to be filled)."""
+"""Queries: run ledger state."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from amortia.operators import ledger
+from amortia.plans.catalog import register, standin, with_views
+
+
+@register("ledger_state", with_views(["ledger_events"], "", """
+SELECT version, arg_max(status, (event_time, event_id)) AS status, min(event_time) AS opened_at,
+       max(event_time) AS last_event_at, count(*) AS n_events,
+       strftime(min(event_time), '%Y%m%d_%H%M%S') AS version_name
+FROM ledger_events GROUP BY version"""))
+def ledger_state(spark, sf_dir):
+    ev = standin(spark, sf_dir).ledger_events
+    return ledger.with_version_name(ledger.current_state(ev))
+
+
+@register("ledger_runs", with_views(["ledger_events"], """
+ev AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'model' ELSE 'retrain' END AS kind, *,
+              CASE WHEN event_id % 2 = 0 THEN CASE status WHEN 'completed' THEN 'passed' ELSE status END ELSE status END AS st,
+              'drop_' || CAST(event_id AS VARCHAR) || '.zip' AS file_name FROM ledger_events),
+model AS (SELECT version, arg_max(st, (event_time, event_id)) AS model_status, min(event_time) AS created_at
+          FROM ev WHERE kind = 'model' GROUP BY version),
+run AS (SELECT version, arg_max(st, (event_time, event_id)) AS run_status, min(event_time) AS started_at,
+               max(CASE WHEN st IN ('completed', 'failed') THEN event_time END) AS finished_at,
+               arg_max(file_name, (event_time, event_id)) AS file_name
+        FROM ev WHERE kind = 'retrain' GROUP BY version)""", """
+SELECT model.version, model_status, created_at, run_status, started_at, finished_at, file_name
+FROM model LEFT JOIN run USING (version)"""))
+def ledger_runs(spark, sf_dir):
+    """Events of the stand-in split into model and run events (even / odd id); model events
+    read 'completed' as 'passed'."""
+    ev = standin(spark, sf_dir).ledger_events
+    is_model = F.col("event_id") % 2 == 0
+    ev = ev.select(F.when(is_model, "model").otherwise("retrain").alias("kind"), "version", "event_time",
+                   F.col("event_id").cast("string").alias("event_id_s"), "event_id",
+                   F.when(is_model & (F.col("status") == "completed"), "passed").otherwise(F.col("status")).alias("status"),
+                   F.concat(F.lit("drop_"), F.col("event_id").cast("string"), F.lit(".zip")).alias("file_name"))
+    return ledger.runs_view(ev).select("version", "model_status", "created_at", "run_status", "started_at",
+                                       "finished_at", "file_name")
