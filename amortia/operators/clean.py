@@ -113,9 +113,12 @@ def dedup_first(df: DataFrame, keys: Iterable[str] = LOAN_KEYS,
 
     Written as an aggregate: ``min_by`` keeps one candidate per key and partition before
     the shuffle, so a hot key costs one row per map task, not all its rows in one task."""
-    keys, order = list(keys), list(order)
+    keys = list(keys)
+    order = [c for c in order if c in df.columns]
     rest = [c for c in df.columns if c not in keys]
-    picked = F.min_by(F.struct(*[F.col(c) for c in rest]), F.struct(*[F.col(c) for c in order]))
+    # Remaining columns complete the order, so the pick is deterministic even without a row id.
+    tie = [c for c in rest if c not in order]
+    picked = F.min_by(F.struct(*[F.col(c) for c in rest]), F.struct(*[F.col(c) for c in order + tie]))
     return df.groupBy(*keys).agg(picked.alias("_first")).select(*keys, "_first.*")
 
 
