@@ -64,24 +64,25 @@ def one_hot_transform(df: DataFrame, state: DataFrame | list, on_unknown: str =
     out_cols = []
     for c, cats in by_col.items():
         v = _as_category(c)
+        guard = None
         if on_unknown == "error":
             known = [r["category"] for r in cats if r["category"] is not None]
             has_null = any(r["category"] is None for r in cats)
             ok = v.isin(*known) if known else F.lit(False)
             ok = (ok | v.isNull()) if has_null else ok
-            out_cols.append(F.when(~F.coalesce(ok, F.lit(False)),
-                                   F.raise_error(F.concat(F.lit(f"unknown category in {c}: "),
-                                                          F.coalesce(v, F.lit("null"))))).alias(f"__chk_{c}"))
+            guard = ~F.coalesce(ok, F.lit(False))
+            err = F.raise_error(F.concat(F.lit(f"unknown category in {c}: "), F.coalesce(v, F.lit("null"))))
         for r in cats:
             if r["position"] == 0:
                 continue
             hit = v.isNull() if r["category"] is None else (v == F.lit(r["category"]))
-            out_cols.append(F.when(F.coalesce(hit, F.lit(False)), 1.0).otherwise(0.0).alias(r["feature_name"]))
+            value = F.when(F.coalesce(hit, F.lit(False)), 1.0).otherwise(0.0)
+            if guard is not None:
+                # The check lives inside every output column, so pruning cannot drop it.
+                value = F.when(guard, err).otherwise(value)
+            out_cols.append(value.alias(r["feature_name"]))
     encoded = df.select("*", *out_cols)
-    drop = [c for c in encoded.columns if c.startswith("__chk_")]
-    if not keep_source:
-        drop += list(by_col)
-    return encoded.drop(*drop)
+    return encoded if keep_source else encoded.drop(*by_col)
 
 
 def encoded_feature_names(state_rows: list) -> list[str]:
