@@ -3,9 +3,9 @@ Cramér's V of categorical pairs, and the greedy pruning walk over either matrix
 
 Scale notes
 -----------
-* Pearson: every row is expanded to its (fixed) column pairs and folded into a sample
-  covariance and two pair-masked standard deviations per pair. All are algebraic partial
-  aggregates, so the table is scanned once and each map task ships one row per pair.
+* Pearson: each task folds its rows into pairwise-complete counts and centred sums with
+  matrix products (X'X, X'M, ...) and ships p x p partial rows; a grouped sum combines
+  them. Centring on the column means keeps the sums well conditioned.
 * Cramér's V: the table is first collapsed to its distinct category combinations with
   counts (partial aggregate), then each combination is expanded to its fixed number of
   column pairs and re-aggregated to contingency cells. Cells, margins and per-pair sums
@@ -22,31 +22,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _gram_partials(columns: list[str], shift: list[float]):
+    """Per Arrow batch: pairwise-complete counts and centred sums as one small table
+    (p x p rows), computed with matrix products instead of per-pair row loops."""
+    import numpy as np
+    import pandas as pd
+
+    p = len(columns)
+    ia, ib = np.divmod(np.arange(p * p), p)
+
+    def fn(batches):
+        acc = None
+        for pdf in batches:
+            x = pdf[columns].to_numpy(dtype="float64", na_value=np.nan)
+            m = ~np.isnan(x)
+            x0 = np.where(m, x - np.asarray(shift), 0.0)
+            mf = m.astype("float64")
+            part = (mf.T @ mf, x0.T @ mf, (x0 * x0).T @ mf, x0.T @ x0)
+            acc = part if acc is None else tuple(a + b for a, b in zip(acc, part))
+        if acc is None:
+            return
+        n, s, q, pr = (a.reshape(-1) for a in acc)
+        # s[a, b] = sum of x_a over rows where a and b are both present; q likewise for x_a^2.
+        yield pd.DataFrame({"pos_a": ia.astype("int32"), "pos_b": ib.astype("int32"), "n": n,
+                            "sa": s, "sb": s.reshape(p, p).T.reshape(-1), "qa": q,
+                            "qb": q.reshape(p, p).T.reshape(-1), "sab": pr})
+    return fn
+
+
 def pearson_long(df: DataFrame, columns: Sequence[str], decimals: int = 6) -> DataFrame:
     """Long correlation matrix (col_a, col_b, r, pos_a, pos_b) over all ordered pairs,
     pairwise-complete; a zero-variance pair gives null.
 
-    Each row is expanded to its fixed set of column pairs inside the scan stage and folded
-    straight into three partial aggregates per pair, so only one partial row per pair and
-    map task is shuffled."""
+    One cheap aggregate gives a per-column centre; then every task folds its rows into
+    pairwise counts and centred sums with matrix products (numpy on Arrow batches) and
+    emits p x p partial rows, which a grouped sum combines. Only p x p rows per task are
+    shuffled, whatever the row count."""
     cols = list(columns)
-    pairs = [F.struct(F.lit(i).alias("pos_a"), F.lit(j).alias("pos_b"),
-                      F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-             for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]
-    long = (df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
-              .filter(F.col("x").isNotNull() & F.col("y").isNotNull()))
-    stats = long.groupBy("pos_a", "pos_b").agg(
-        F.covar_samp("x", "y").alias("cov"), F.stddev_samp("x").alias("sx"), F.stddev_samp("y").alias("sy"))
-    r = F.when(F.col("pos_a") == F.col("pos_b"), F.when(F.col("sx") > 0, F.lit(1.0))).otherwise(
-        F.try_divide(F.col("cov"), F.nullif(F.col("sx") * F.col("sy"), F.lit(0.0))))
-    upper = stats.select("pos_a", "pos_b", F.round(r, decimals).alias("r"))
-    lower = upper.filter(F.col("pos_a") != F.col("pos_b")).select(
-        F.col("pos_b").alias("pos_a"), F.col("pos_a").alias("pos_b"), "r")
     spark = df.sparkSession
-    # Every ordered pair appears even when a pair has no complete rows (r is then null).
+    num = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    centre = num.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    shift = [float(centre[c]) if centre[c] is not None else 0.0 for c in cols]
+    schema = "pos_a int, pos_b int, n double, sa double, sb double, qa double, qb double, sab double"
+    parts = num.mapInPandas(_gram_partials(cols, shift), schema)
+    tot = parts.groupBy("pos_a", "pos_b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "qa", "qb", "sab")])
+    n = F.col("n")
+    cov = (F.col("sab") - F.col("sa") * F.col("sb") / n) / (n - 1)
+    va = (F.col("qa") - F.col("sa") * F.col("sa") / n) / (n - 1)
+    vb = (F.col("qb") - F.col("sb") * F.col("sb") / n) / (n - 1)
+    # Relative tolerance: a column that is constant over the pair's rows has zero variance.
+    tiny = 1e-12
+    ok = (n > 1) & (va > tiny * (F.col("qa") / n + 1e-300)) & (vb > tiny * (F.col("qb") / n + 1e-300))
+    r = F.when(F.col("pos_a") == F.col("pos_b"), F.when(ok, F.lit(1.0))).otherwise(
+        F.when(ok, F.least(F.greatest(cov / F.sqrt(va * vb), F.lit(-1.0)), F.lit(1.0))))
+    stats = tot.select("pos_a", "pos_b", F.round(r, decimals).alias("r"))
     grid = spark.createDataFrame([(i, j, a, b) for i, a in enumerate(cols) for j, b in enumerate(cols)],
                                  "pos_a int, pos_b int, col_a string, col_b string")
-    return (F.broadcast(grid).join(upper.unionByName(lower), ["pos_a", "pos_b"], "left")
+    # Every ordered pair appears even when a pair has no complete rows (r is then null).
+    return (F.broadcast(grid).join(stats, ["pos_a", "pos_b"], "left")
             .select("col_a", "col_b", "r", "pos_a", "pos_b"))
 
 
