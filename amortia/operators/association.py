@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from amortia.session import durable
+
 
 def _gram_partials(columns: list[str], shift: list[float]):
     """Per Arrow batch: pairwise-complete counts and centred sums as one small table
@@ -96,20 +98,31 @@ def _filled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("NULL")).alias(c) for c in columns])
 
 
-def multi_level_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
-    """Columns with more than one distinct non-null value (schema-sized list to the driver)."""
-    row = df.agg(*[F.countDistinct(F.col(c)).alias(c) for c in columns]).first()
+def category_combos(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Distinct combinations of the categorical columns with their row counts (nulls kept
+    as null). A partial aggregate: the table collapses to its combinations in the scan stage."""
+    return df.groupBy(*[F.col(c).cast("string").alias(c) for c in columns]).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def multi_level_columns(df: DataFrame, columns: Sequence[str], combos: DataFrame | None = None) -> list[str]:
+    """Columns with more than one distinct non-null value (schema-sized list to the driver).
+    Computed from the combinations table when one is given."""
+    src = combos if combos is not None else df
+    row = src.agg(*[F.countDistinct(F.col(c)).alias(c) for c in columns]).first()
     return [c for c in columns if row[c] > 1]
 
 
-def contingency_cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def contingency_cells(df: DataFrame, columns: Sequence[str], combos: DataFrame | None = None) -> DataFrame:
     """Counts per (pair, x, y) for every column pair i < j; nulls read as 'NULL'."""
     cols = list(columns)
-    combos = _filled(df, cols).groupBy(*cols).agg(F.count(F.lit(1)).alias("cnt"))
+    if combos is None:
+        combos = category_combos(df, cols)
+    filled = combos.groupBy(*[F.coalesce(F.col(c), F.lit("NULL")).alias(c) for c in cols]).agg(
+        F.sum("cnt").alias("cnt"))
     pairs = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
                       F.col(a).alias("x"), F.col(b).alias("y"))
              for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
-    exploded = combos.select(F.explode(F.array(*pairs)).alias("p"), "cnt").select("p.*", "cnt")
+    exploded = filled.select(F.explode(F.array(*pairs)).alias("p"), "cnt").select("p.*", "cnt")
     return exploded.groupBy("i", "j", "col_a", "col_b", "x", "y").agg(F.sum("cnt").alias("o"))
 
 
@@ -154,8 +167,11 @@ def cramers_v(chi: DataFrame) -> DataFrame:
 def cramers_v_long(df: DataFrame, columns: Sequence[str], decimals: int = 6) -> DataFrame:
     """Cramér's V matrix in long form over the columns with more than one level: diagonal 1,
     mirrored halves, null -> 0. Columns: (col_a, col_b, v, pos_a, pos_b)."""
-    cols = multi_level_columns(df, columns)
-    v = cramers_v(chi_square(contingency_cells(df, cols))).select("i", "j", "col_a", "col_b", "v")
+    # The table is scanned once: its category combinations are written to the shared folder
+    # and both the level check and the contingency cells read that (much smaller) table.
+    combos = durable(category_combos(df, list(columns)))
+    cols = multi_level_columns(df, columns, combos)
+    v = cramers_v(chi_square(contingency_cells(df, cols, combos))).select("i", "j", "col_a", "col_b", "v")
     upper = v.select(F.col("i").alias("pos_a"), F.col("j").alias("pos_b"), "col_a", "col_b", "v")
     lower = v.select(F.col("j").alias("pos_a"), F.col("i").alias("pos_b"),
                      F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "v")

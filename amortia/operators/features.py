@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from amortia.functions import expressions as X
 from amortia.operators import clean, profile
 from amortia.schemas import FEATURES_RETRAIN, RANDOM_STATE, SCALED_COLUMNS
+from amortia.session import durable
 
 CATEGORICAL = ["first_time_homebuyer", "occupancy_status", "channel", "property_type", "loan_purpose",
                "property_valuation_method", "quarter", "region"]
@@ -155,6 +156,7 @@ def smallest_by_hash(df: DataFrame, key: str, m: int, seed: int = RANDOM_STATE)
 def undersample(df: DataFrame, label: str, key: str, seed: int = RANDOM_STATE) -> DataFrame:
     """Random under-sampling to the minority class size: every class keeps its ``m`` rows
     with the smallest key hash, ``m`` being the smallest class count."""
+    df = durable(df)  # read once per class and per histogram pass
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return df
@@ -175,13 +177,16 @@ def prepare_training(joined: DataFrame, strict_reference: bool = False,
                      id_col: str = "row_key") -> DataFrame:
     """Label -> feature-row dedup -> region -> sentinels -> imputation -> ranges, before
     encoding. Duplicate feature rows collapse to one, keeping the smallest row id so the
-    split and sampling have a stable key."""
+    split and sampling have a stable key. Runs one job (the de-duplicated table is written
+    to the shared folder); the returned frame reads that copy."""
     cols = [c for c in FEATURES_RETRAIN] + [id_col]
     df = clean.with_target(joined.select(*cols))
     feats = [c for c in df.columns if c != id_col]
     df = df.groupBy(*feats).agg(F.min(id_col).alias(id_col))
     df = clean.with_region(df, drop_state=True).drop("cur_LDS")
-    return clean.clean_loan_months(df, strict_reference)
+    # The imputation mean and the cleaned rows both read the de-duplicated table: write it
+    # once to the shared folder instead of running the join and the dedup twice.
+    return clean.clean_loan_months(durable(df), strict_reference)
 
 
 def prepare_scoring(joined: DataFrame, bounds: DataFrame | list, state: DataFrame | list | None = None,
@@ -192,6 +197,9 @@ def prepare_scoring(joined: DataFrame, bounds: DataFrame | list, state: DataFram
     travels with the row, so no re-attach join is needed."""
     df = clean.dedup_first(joined)
     df = clean.with_region(df, drop_state=True)
+    if eltv_mean is None:
+        # Batch mean: two passes over the de-duplicated rows, so read them from one written copy.
+        df = durable(df)
     df = clean.clean_loan_months(df, strict_reference, eltv_mean)
     if state is not None:
         df = one_hot_transform(df, state, on_unknown, keep_source=True)

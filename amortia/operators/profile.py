@@ -51,23 +51,55 @@ def to_long(df: DataFrame, columns: Sequence[str], value_type: str = "string",
 
 # --- coverage (D1, B11, D10, D26) ------------------------------------------------------
 
+def column_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Per column: total rows, non-null rows, distinct non-null values — exact, one scan.
+
+    Columns are unpivoted per data type (values keep their own type, so distinct counts are
+    exact), folded into (column, value) counts by a partial aggregate in the scan stage, and
+    reduced per column. Much cheaper than one ``countDistinct`` per column, which makes
+    Spark expand every row once per column before the shuffle."""
+    columns = list(columns or df.columns)
+    by_type: dict[str, list[str]] = {}
+    for f in df.schema.fields:
+        if f.name in columns:
+            by_type.setdefault(f.dataType.simpleString(), []).append(f.name)
+    parts = []
+    for cols in by_type.values():
+        long = df.select(*[F.col(f"`{c}`") for c in cols]).unpivot([], cols, "column_name", "value")
+        counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("c"))
+        parts.append(counts.groupBy("column_name").agg(
+            F.sum("c").alias("total_rows"),
+            F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("c"))), F.lit(0)).cast("long").alias("non_null"),
+            F.count("value").alias("num_unique_values")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def coverage_profile(df: DataFrame, threshold: float | None = 0.7, exact_distinct: bool = True) -> DataFrame:
     """Per column: type, non-null rows, total rows, coverage ratio, distinct non-null values.
-    Rows below ``threshold`` are dropped (``None`` keeps all). Sorted by coverage desc."""
+    Rows below ``threshold`` are dropped (``None`` keeps all). Sorted by coverage desc.
+    ``exact_distinct=False`` uses HyperLogLog sketches instead of exact distinct counts."""
     cols = df.columns
-    distinct = F.countDistinct if exact_distinct else F.approx_count_distinct
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    for i, c in enumerate(cols):
-        aggs += [F.count(F.col(c)).alias(f"nn{i}"), distinct(F.col(c)).alias(f"nd{i}")]
-    wide = df.agg(*aggs)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    rows = [F.struct(F.lit(c).alias("column_name"), F.lit(types[c]).alias("dtype"),
-                     F.col(f"nn{i}").alias("non_null"), F.col(f"nd{i}").alias("num_unique_values"))
-            for i, c in enumerate(cols)]
-    out = (wide.select(F.col("__n").alias("total_rows"), F.explode(F.array(*rows)).alias("p"))
-               .select("p.column_name", "p.dtype", "p.non_null", "total_rows",
-                       F.round(F.col("p.non_null") / F.col("total_rows"), 6).alias("coverage_ratio"),
-                       "p.num_unique_values"))
+    spark = df.sparkSession
+    dtypes = spark.createDataFrame([(c, types[c]) for c in cols], "column_name string, dtype string")
+    if exact_distinct:
+        stats = column_stats(df, cols)
+    else:
+        aggs = [F.count(F.lit(1)).alias("__n")]
+        for i, c in enumerate(cols):
+            aggs += [F.count(F.col(f"`{c}`")).alias(f"nn{i}"), F.approx_count_distinct(F.col(f"`{c}`")).alias(f"nd{i}")]
+        rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"nn{i}").alias("non_null"),
+                         F.col(f"nd{i}").alias("num_unique_values")) for i, c in enumerate(cols)]
+        stats = (df.agg(*aggs).select(F.col("__n").alias("total_rows"), F.explode(F.array(*rows)).alias("p"))
+                   .select("p.column_name", "total_rows", "p.non_null", "p.num_unique_values"))
+    # One row per column: bounded by the schema width.
+    out = (stats.join(F.broadcast(dtypes), "column_name")
+                .select("column_name", "dtype", "non_null", "total_rows",
+                        F.round(F.col("non_null") / F.col("total_rows"), 6).alias("coverage_ratio"),
+                        "num_unique_values"))
     if threshold is not None:
         out = out.filter(F.col("coverage_ratio") >= threshold)
     return out.orderBy(F.desc("coverage_ratio"), "column_name")
@@ -101,14 +133,24 @@ def null_counts(df: DataFrame) -> DataFrame:
 # --- value counts (D2, D3, D6, D12, D25, C5) -----------------------------------------------
 
 def value_share(df: DataFrame, columns: Sequence[str], decimals: int = 4) -> DataFrame:
-    """Per column and value (null included): count and share of all rows in percent."""
-    total = df.agg(F.count(F.lit(1))).scalar()
+    """Per column and value (null included): count and share of all rows in percent.
+
+    One pass: the row total of a column is the sum of its value counts, taken with a window
+    over the (small) counts table instead of a second scan."""
     long = to_long(df, columns)
     counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count"))
+    total = F.sum("count").over(Window.partitionBy("column_name"))
     return (counts.withColumn("share_pct", F.round(F.col("count") * 100.0 / total, decimals))
                   .orderBy("column_name", F.desc("share_pct"), "value"))
 
 
+def value_share_of(df: DataFrame, column: str, decimals: int = 4) -> DataFrame:
+    """Value counts of one column (null included) with their share in percent, one pass."""
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("count"))
+    total = F.sum("count").over(Window.partitionBy())
+    return counts.withColumn("share_pct", F.round(F.col("count") * 100.0 / total, decimals))
+
+
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("count"))
 
@@ -217,11 +259,11 @@ def text_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
-    """Rows before, rows after full-row de-duplication, and duplicated rows."""
-    before = df.agg(F.count(F.lit(1))).scalar()
-    after = df.dropDuplicates().agg(F.count(F.lit(1)).alias("rows_after"))
-    return after.select(before.alias("rows_before"), "rows_after",
-                        (before - F.col("rows_after")).alias("duplicated_rows"))
+    """Rows before, rows after full-row de-duplication, and duplicated rows — one grouped
+    pass (the distinct rows with their multiplicities)."""
+    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__m"))
+    return groups.agg(F.sum("__m").alias("rows_before"), F.count(F.lit(1)).alias("rows_after")).select(
+        "rows_before", "rows_after", (F.col("rows_before") - F.col("rows_after")).alias("duplicated_rows"))
 
 
 # --- ordering, head / tail, samples (F1-F4) ----------------------------------------------------

@@ -203,10 +203,7 @@ SELECT coalesce(replace(cur_LDS, ' ', ''), 'nan') IN ('0', '1') AS target, count
        round(count(*) * 100.0 / (SELECT count(*) FROM joined), 4) AS share_pct
 FROM joined GROUP BY 1"""))
 def class_balance(spark, sf_dir):
-    df = clean.with_target(joined(spark, sf_dir))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return (profile.value_counts(df, "target")
-            .withColumn("share_pct", F.round(F.col("count") * 100.0 / total, 4)))
+    return profile.value_share_of(clean.with_target(joined(spark, sf_dir)), "target")
 
 
 HT_COLS = ["loan_sequence_num", "monthly_reporting_period", "row_key", "cur_actual_UPB", "credit_score"]

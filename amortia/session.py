@@ -74,3 +74,11 @@ def work_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for a written intermediate table."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}"
+
+
+def durable(df):
+    """Cut lineage for a table read several times: ``checkpoint()`` into the session's shared
+    checkpoint folder (reliable, unlike a local checkpoint), so later passes and retries
+    after executor loss read the written copy instead of replaying the plan."""
+    _ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
