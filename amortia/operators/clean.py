@@ -26,6 +26,14 @@ from amortia.schemas import SENTINELS, VALID_RANGES
 LOAN_KEYS = ["loan_sequence_num", "quarter"]
 
 
+def require_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """Fail early when an input lacks a required column (schema check, no data read)."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"some required columns are not found in the input: {missing}")
+    return df
+
+
 def join_loans(performance: DataFrame, origination: DataFrame,
                keys: list[str] | None = None) -> DataFrame:
     """Monthly performance left-joined with origination on loan id and quarter."""

@@ -163,3 +163,27 @@ def reattach_quarter(spark, sf_dir):
     return (firsts.drop("quarter", "monthly_reporting_period")
                   .join(pairs, "loan_sequence_num", "left")
                   .select("loan_sequence_num", "row_key", "cur_actual_UPB", "quarter"))
+
+
+@register("notebook_quarters", with_views(PO, JOINED_CTE, """
+SELECT quarter, count(*) AS n_rows, count(DISTINCT loan_sequence_num) AS n_loans,
+       count(credit_score) AS n_matched, round(sum(cur_actual_UPB), 2) AS total_balance
+FROM joined GROUP BY quarter"""))
+def notebook_quarters(spark, sf_dir):
+    """Notebook form: per quarter, the performance file left-joined with that quarter's
+    origination file on the loan id alone, tagged with a constant quarter, then all
+    quarters unioned."""
+    from amortia.sources.text_drops import with_constant_quarter
+    s = standin(spark, sf_dir)
+    parts = []
+    for q in ("1", "2", "3", "4"):
+        perf_q = s.performance.filter(F.col("quarter") == q).drop("quarter")
+        orig_q = s.origination.filter(F.col("quarter") == q).drop("quarter")
+        parts.append(with_constant_quarter(clean.join_loans(perf_q, orig_q, ["loan_sequence_num"]), q))
+    allq = parts[0]
+    for p in parts[1:]:
+        allq = allq.unionByName(p)
+    return allq.groupBy("quarter").agg(F.count(F.lit(1)).alias("n_rows"),
+                                       F.countDistinct("loan_sequence_num").alias("n_loans"),
+                                       F.count("credit_score").alias("n_matched"),
+                                       F.round(F.sum("cur_actual_UPB"), 2).alias("total_balance"))

@@ -78,3 +78,31 @@ def test_sentinel_filter_keeps_null_and_drops_codes(spark):
                                "credit_score double, ori_DTI double, property_valuation_method double, channel string")
     assert clean.sentinel_filter(df).count() == 1
     assert clean.sentinel_filter(df, strict_reference=True).count() == 2
+
+
+def test_required_columns(spark):
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    assert clean.require_columns(df, ["a"]) is df
+    with pytest.raises(ValueError, match="required"):
+        clean.require_columns(df, ["a", "c"])
+
+
+def test_ledger_open_close_and_state(spark):
+    import datetime as dt
+    from amortia.operators import ledger
+    root = tempfile.mkdtemp(prefix="ledger-")
+    t0 = dt.datetime(2025, 7, 1, 16, 30, 15)
+    v = ledger.open_run(spark, root, 1, "drop.zip", t0)
+    assert v == "20250701_163015"
+    ledger.close_run(spark, root, v, False, "evaluation-20250701.json", t0 + dt.timedelta(minutes=5))
+    ledger.record_scoring(spark, root, 1, "predictions.csv", t0)
+    ev = ledger.read_events(spark, root)
+    runs = ledger.runs_view(ev).collect()
+    assert len(runs) == 1
+    r = runs[0]
+    assert (r.model_status, r.run_status, r.file_name) == ("failed", "completed", "evaluation-20250701.json")
+    # a run that ended in an error is closed as failed
+    v2 = ledger.open_run(spark, root, 1, "drop2.zip", t0 + dt.timedelta(hours=1))
+    ledger.close_run(spark, root, v2, None, None, t0 + dt.timedelta(hours=2))
+    st = {x.version: x.run_status for x in ledger.runs_view(ledger.read_events(spark, root)).collect()}
+    assert st[v2] == "failed"
