@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from amortia.operators import fairness, metrics
 from amortia.plans.catalog import register, standin, with_views
+from amortia.session import durable
 
 S = ["scored"]
 COUNTS = """counts AS (SELECT split,
@@ -134,6 +135,7 @@ SELECT bool_and(metrics_ok) AS passed_metrics, bool_and(fairness_ok) AS passed_f
        CASE WHEN bool_and(metrics_ok) AND bool_and(fairness_ok) AND count(*) = 2 THEN 'PASS' ELSE 'FAIL' END AS status
 FROM gate"""))
 def quality_gate(spark, sf_dir):
-    df = scored(spark, sf_dir)
+    # Confusion counts, AUC and three fairness measures all read the scored rows: one copy.
+    df = durable(scored(spark, sf_dir))
     m = metrics.binary_metrics(metrics.confusion_counts(df))
     return fairness.quality_gate(m, metrics.roc_auc(df), fairness.fairness_table(df))

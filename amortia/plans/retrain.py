@@ -100,10 +100,19 @@ def retrain(spark: SparkSession, joined: DataFrame, out_root: str, n_trials: int
         F.lit(round(m["val"]["auc"] or 0.0, 4)).alias("validation_auc"),
         F.lit(round(m["val"]["f1_score"], 4)).alias("validation_f1"),
         F.lit("PASS" if passed else "FAIL").alias("status"), F.lit(passed).alias("should_update_model"))
+    report = {}
+    for r in metrics.classification_report(counts).collect():
+        report.setdefault(r["split"], []).append(
+            F.struct(F.lit(r["label"]).alias("label"), F.lit(r["precision"]).cast("double").alias("precision"),
+                     F.lit(r["recall"]).cast("double").alias("recall"),
+                     F.lit(r["f1_score"]).cast("double").alias("f1_score"),
+                     F.lit(r["support"]).cast("long").alias("support")))
     perf = F.struct(*[_metric_struct(spark_rows, k) for k in ("accuracy", "precision", "recall", "f1_score", "auc",
                                                               "g_mean", "specificity")],
                     F.struct(*[F.lit(str(cm.get(s))).alias(s) for s in ("train", "val", "test")]).alias(
-                        "confusion_matrix"))
+                        "confusion_matrix"),
+                    F.struct(*[F.array(*report.get(s, [])).alias(s) for s in ("train", "val", "test")]).alias(
+                        "classification_report"))
 
     def fair_struct(s):
         f = fair.get(s, {})
