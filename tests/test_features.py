@@ -57,3 +57,16 @@ def test_undersample_keeps_exactly_the_smallest_hashes(spark):
                .select("row_key").collect())
     picked = got.filter(~F.col("target")).select("row_key").collect()
     assert sorted(r.row_key for r in brute) == sorted(r.row_key for r in picked)
+
+
+def test_exact_quantiles_match_numpy_with_forced_refinement(spark):
+    import numpy as np
+    from amortia.operators import profile
+    rng = np.random.default_rng(5)
+    vals = {"a": rng.lognormal(3, 2, 4000), "b": np.round(rng.normal(0, 1, 3000), 2), "c": np.array([7.0])}
+    rows = [(g, float(x)) for g, xs in vals.items() for x in xs]
+    df = spark.createDataFrame(rows, "g string, x double")
+    probs = [0.25, 0.5, 0.75]
+    got = {r.g: r.q for r in profile.exact_quantiles(df, "x", ["g"], probs, buckets=8, finish_at=20).collect()}
+    for g, xs in vals.items():
+        assert got[g] == pytest.approx(list(np.quantile(xs, probs)), rel=1e-12, abs=1e-12), g
