@@ -36,7 +36,7 @@ def ledger_runs(spark, sf_dir):
     ev = standin(spark, sf_dir).ledger_events
     is_model = F.col("event_id") % 2 == 0
     ev = ev.select(F.when(is_model, "model").otherwise("retrain").alias("kind"), "version", "event_time",
-                   F.col("event_id").cast("string").alias("event_id_s"), "event_id",
+                   "event_id",
                    F.when(is_model & (F.col("status") == "completed"), "passed").otherwise(F.col("status")).alias("status"),
                    F.concat(F.lit("drop_"), F.col("event_id").cast("string"), F.lit(".zip")).alias("file_name"))
     return ledger.runs_view(ev).select("version", "model_status", "created_at", "run_status", "started_at",
