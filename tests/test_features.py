@@ -70,3 +70,21 @@ def test_exact_quantiles_match_numpy_with_forced_refinement(spark):
     got = {r.g: r.q for r in profile.exact_quantiles(df, "x", ["g"], probs, buckets=8, finish_at=20).collect()}
     for g, xs in vals.items():
         assert got[g] == pytest.approx(list(np.quantile(xs, probs)), rel=1e-12, abs=1e-12), g
+
+
+def test_box_stats_and_histogram_against_numpy(spark):
+    import numpy as np
+    from amortia.operators import profile
+    rng = np.random.default_rng(9)
+    xs = np.concatenate([rng.normal(100, 10, 500), [10.0, 250.0, 260.0]])
+    df = spark.createDataFrame([("g", float(x)) for x in xs], "g string, x double")
+    b = profile.box_stats(df, "x", ["g"]).first()
+    q1, med, q3 = np.quantile(xs, [0.25, 0.5, 0.75])
+    iqr = q3 - q1
+    inside = xs[(xs >= q1 - 1.5 * iqr) & (xs <= q3 + 1.5 * iqr)]
+    assert (b.q1, b.median, b.q3) == pytest.approx((q1, med, q3))
+    assert (b.whisker_low, b.whisker_high) == (inside.min(), inside.max())
+    assert b.n_outliers == len(xs) - len(inside)
+    h = {r.bin: r["count"] for r in profile.histogram(df.select("x"), ["x"], 30).collect()}
+    counts, _ = np.histogram(xs, bins=30)
+    assert [h.get(i + 1, 0) for i in range(30)] == list(counts)
