@@ -46,7 +46,9 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 def write_predictions_csv(pred: DataFrame, out_root: str, when: dt.datetime | None = None,
                           id_col: str = "loan_sequence_num", target_col: str = "target") -> str:
-    """A12: ``loan_sequence_number,target`` with a header, folder named with a timestamp."""
+    """A12: ``loan_sequence_number,target`` with a header, folder named with a timestamp.
+    Written in parallel: every part file carries the header (read back with
+    ``header=true``); nothing is funnelled through a single task."""
     when = when or dt.datetime.utcnow()
     path = f"{out_root.rstrip('/')}/predictions_{when:%Y%m%d_%H%M%S}"
     (pred.select(F.col(id_col).alias("loan_sequence_number"), F.col(target_col).alias("target"))
