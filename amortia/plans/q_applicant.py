@@ -60,7 +60,8 @@ def quarter_of_date(spark, sf_dir):
 
 
 @register("default_fill", with_views(["applicant"], "", """
-SELECT applicant_id, 71.67837 AS ELTV, 0.0 AS cur_deferred_UPB, 2.0 AS property_valuation_method,
+SELECT applicant_id, CAST(71.67837 AS DOUBLE) AS ELTV, CAST(0.0 AS DOUBLE) AS cur_deferred_UPB,
+       CAST(2.0 AS DOUBLE) AS property_valuation_method,
        coalesce(loan_purpose, 'P') AS loan_purpose, 'R' AS channel, 'Y' AS first_time_homebuyer,
        'SF' AS property_type, 'P' AS occupancy_status, 1 AS num_of_units
 FROM applicant"""))
@@ -91,7 +92,7 @@ def applicant_validation(spark, sf_dir):
 @register("applicant_features", with_views(["applicant"], "", f"""
 SELECT applicant_id, {_dti_sql()} AS ori_DTI, CAST(quarter(loan_start_date) AS VARCHAR) AS quarter,
        strftime(loan_start_date, '%Y-%m-%d') AS loan_start_text, CAST(term_years AS DOUBLE) AS loan_age,
-       71.67837 AS ELTV, coalesce(loan_purpose, 'P') AS loan_purpose, 1 AS num_of_units
+       CAST(71.67837 AS DOUBLE) AS ELTV, coalesce(loan_purpose, 'P') AS loan_purpose, 1 AS num_of_units
 FROM applicant"""))
 def applicant_features(spark, sf_dir):
     a = applicant.applicant_features(standin(spark, sf_dir).applicant)

@@ -81,7 +81,7 @@ chi AS (SELECT i, j, col_a, col_b, n, r, k, (r - 1) * (k - 1) AS dof,
 
 
 @register("chi_square", with_views(["origination"], _chi_sql("origination", ASSOC_ORIG), """
-SELECT i, j, col_a, col_b, n, r, k, dof, round(chi2, 6) AS chi2 FROM chi"""))
+SELECT i, j, col_a, col_b, CAST(n AS BIGINT) AS n, r, k, dof, round(chi2, 6) AS chi2 FROM chi"""))
 def chi_square(spark, sf_dir):
     orig = standin(spark, sf_dir).origination
     cols = association.multi_level_columns(orig, ASSOC_ORIG)

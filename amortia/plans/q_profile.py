@@ -110,7 +110,7 @@ def numeric_summary(spark, sf_dir):
 @register("text_summary", with_views(PO, JOINED_CTE + ",\n" + "counts AS (" + _union([
     f"SELECT '{c}' AS column_name, {c} AS value, count(*) AS cnt FROM joined WHERE {c} IS NOT NULL GROUP BY {c}"
     for c in TEXT]) + ")", """
-SELECT column_name, sum(cnt) AS count, count(*) AS "unique", max(cnt) AS freq,
+SELECT column_name, CAST(sum(cnt) AS BIGINT) AS count, count(*) AS "unique", max(cnt) AS freq,
        arg_min(value, (-cnt, value)) AS top
 FROM counts GROUP BY column_name"""))
 def text_summary(spark, sf_dir):
@@ -222,7 +222,7 @@ def head_tail(spark, sf_dir):
 
 @register("column_samples", with_views(PO, JOINED_CTE + ",\nlongv AS (" + _union([
     f"SELECT '{c}' AS column_name, row_key, {c} AS value FROM joined WHERE {c} IS NOT NULL" for c in SAMPLE_COLS]) + ")", """
-SELECT column_name, rank, value FROM (
+SELECT column_name, CAST(rank AS INTEGER) AS rank, value FROM (
   SELECT column_name, value, row_number() OVER (PARTITION BY column_name
                                                 ORDER BY md5(concat_ws('|', '42', column_name, row_key))) AS rank
   FROM longv) t WHERE rank <= 5"""))
