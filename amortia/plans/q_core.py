@@ -134,8 +134,9 @@ SELECT quarter, count(*) AS n_rows, count(DISTINCT loan_sequence_num) AS n_loans
        round(sum(cur_actual_UPB), 2) AS total_balance
 FROM performance GROUP BY quarter"""))
 def union_quarters(spark, sf_dir):
-    perf = standin(spark, sf_dir).performance
-    parts = [perf.filter(F.col("quarter") == q) for q in ("1", "2", "3", "4")]
+    """Per-quarter tables unioned by name. The performance table is published once,
+    partitioned by quarter; each quarter's read prunes to its own partition."""
+    parts = _quarter_tables(spark, sf_dir, "performance")
     allq = parts[0]
     for p in parts[1:]:
         allq = allq.unionByName(p)
@@ -145,6 +146,16 @@ def union_quarters(spark, sf_dir):
                      F.round(F.sum("cur_actual_UPB"), 2).alias("total_balance")))
 
 
+def _quarter_tables(spark, sf_dir, name: str, quarters=("1", "2", "3", "4")):
+    """Publish a stand-in table partitioned by quarter (one write) and return one frame per
+    quarter, each reading only its partition."""
+    from amortia.sources import sinks
+    path = sinks.write_prepared(standin(spark, sf_dir).table(name), sinks.fresh_path(spark, f"{name}_by_quarter"))
+    tab = sinks.read_table(spark, path)
+    return [tab.filter(F.col("quarter") == int(q)).withColumn("quarter", F.col("quarter").cast("string"))
+            for q in quarters]
+
+
 @register("reattach_quarter", with_views(PO, JOINED_CTE + """,
 firsts AS (SELECT loan_sequence_num, quarter, row_key, cur_actual_UPB
            FROM (SELECT *, row_number() OVER (PARTITION BY loan_sequence_num, quarter
@@ -174,12 +185,12 @@ def notebook_quarters(spark, sf_dir):
     origination file on the loan id alone, tagged with a constant quarter, then all
     quarters unioned."""
     from amortia.sources.text_drops import with_constant_quarter
-    s = standin(spark, sf_dir)
+    perf = _quarter_tables(spark, sf_dir, "performance")
+    orig = _quarter_tables(spark, sf_dir, "origination")
     parts = []
-    for q in ("1", "2", "3", "4"):
-        perf_q = s.performance.filter(F.col("quarter") == q).drop("quarter")
-        orig_q = s.origination.filter(F.col("quarter") == q).drop("quarter")
-        parts.append(with_constant_quarter(clean.join_loans(perf_q, orig_q, ["loan_sequence_num"]), q))
+    for q, perf_q, orig_q in zip(("1", "2", "3", "4"), perf, orig):
+        j = clean.join_loans(perf_q.drop("quarter"), orig_q.drop("quarter"), ["loan_sequence_num"])
+        parts.append(with_constant_quarter(j, q))
     allq = parts[0]
     for p in parts[1:]:
         allq = allq.unionByName(p)
