@@ -88,3 +88,14 @@ def test_box_stats_and_histogram_against_numpy(spark):
     h = {r.bin: r["count"] for r in profile.histogram(df.select("x"), ["x"], 30).collect()}
     counts, _ = np.histogram(xs, bins=30)
     assert [h.get(i + 1, 0) for i in range(30)] == list(counts)
+
+
+def test_text_summary_ties_and_coverage_with_nulls(spark):
+    from amortia.operators import profile
+    df = spark.createDataFrame([("b", None), ("a", 1.0), ("b", 1.0), ("a", None), (None, 2.0)], "t string, x double")
+    ts = profile.text_summary(df, ["t"]).first()
+    assert (ts["count"], ts["unique"], ts["top"], ts["freq"]) == (4, 2, "a", 2)   # tie -> smallest value
+    cov = {r.column_name: r for r in profile.coverage_profile(df, None).collect()}
+    assert cov["t"].non_null == 4 and cov["t"].num_unique_values == 2 and cov["t"].coverage_ratio == 0.8
+    assert cov["x"].non_null == 3 and cov["x"].num_unique_values == 2 and cov["x"].dtype == "double"
+    assert [r.column_name for r in profile.coverage_profile(df, 0.7).collect()] == ["t"]
