@@ -80,8 +80,9 @@ def pearson_long(df: DataFrame, columns: Sequence[str], decimals: int = 6) -> Da
     stats = tot.select("pos_a", "pos_b", F.round(r, decimals).alias("r"))
     grid = spark.createDataFrame([(i, j, a, b) for i, a in enumerate(cols) for j, b in enumerate(cols)],
                                  "pos_a int, pos_b int, col_a string, col_b string")
-    # Every ordered pair appears even when a pair has no complete rows (r is then null).
-    return (F.broadcast(grid).join(stats, ["pos_a", "pos_b"], "left")
+    # Every task emits all p x p pairs (n = 0 where a pair has no complete rows, r null), so an
+    # inner join with the broadcast name grid (p x p rows, fixed by the schema) keeps them all.
+    return (stats.join(F.broadcast(grid), ["pos_a", "pos_b"])
             .select("col_a", "col_b", "r", "pos_a", "pos_b"))
 
 
