@@ -49,7 +49,7 @@ def _metric_struct(m_rows: dict, name: str):
     return F.struct(*[F.lit(m_rows[s][name]).cast("double").alias(s) for s in ("train", "val", "test")]).alias(name)
 
 
-def retrain(spark: SparkSession, joined: DataFrame, out_root: str, n_trials: int = 20, fair_rounds: int = 5,
+def retrain(spark: SparkSession, joined: DataFrame, out_root: str, n_trials: int = 20, fair_rounds: int = 50,
             max_iter: int = 20, model_name: str = "gbt_equalized_odds", admin_id: int = 0,
             thresholds: dict | None = None) -> RetrainResult:
     t = thresholds or THRESHOLDS
