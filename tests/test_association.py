@@ -1,6 +1,5 @@
 """Chi-square (with Yates on 2x2), Cramér's V and Pearson against brute force."""
 
-import itertools
 import math
 import random
 

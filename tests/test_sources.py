@@ -5,7 +5,6 @@ import tempfile
 import zipfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from amortia.operators import clean
 from amortia.sources import archives, text_drops
