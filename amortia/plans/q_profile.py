@@ -228,3 +228,15 @@ SELECT column_name, CAST(rank AS INTEGER) AS rank, value FROM (
   FROM longv) t WHERE rank <= 5"""))
 def column_samples(spark, sf_dir):
     return profile.column_samples(joined(spark, sf_dir), SAMPLE_COLS, "row_key", 5)
+
+
+LEAKAGE = ["cur_LDS", "ori_UPB"]
+
+
+@register("numeric_projection", with_views(PO, JOINED_CTE, "SELECT " + ", ".join(
+    c for c in NUMERIC if c not in LEAKAGE) + ", row_key FROM joined"))
+def numeric_projection(spark, sf_dir):
+    """B2-B4: drop the leakage columns, then keep the numeric columns (chosen from the schema),
+    plus the row key."""
+    df = joined(spark, sf_dir).drop(*LEAKAGE)
+    return df.select(*profile.numeric_columns(df), "row_key")
