@@ -105,3 +105,15 @@ def test_ledger_open_close_and_state(spark):
     ledger.close_run(spark, root, v2, None, None, t0 + dt.timedelta(hours=2))
     st = {x.version: x.run_status for x in ledger.runs_view(ledger.read_events(spark, root)).collect()}
     assert st[v2] == "failed"
+
+
+def test_malformed_lines_are_quarantined(spark):
+    base = tempfile.mkdtemp(prefix="bad-")
+    pad = "|" * 29   # 32 fields per line, as in the published layout
+    _write(f"{base}/historical_data_time_2020Q1.txt", f"L1|202001|1000{pad}\nL2|notanumber|5{pad}\n")
+    from amortia.schemas import PERFORMANCE_SCHEMA
+    df = text_drops.scan_pipe(spark, [f"{base}/historical_data_time_2020Q1.txt"], PERFORMANCE_SCHEMA, base,
+                              keep_corrupt=True)
+    good, bad = text_drops.split_corrupt(df.cache())
+    assert [r.loan_sequence_num for r in good.collect()] == ["L1"]
+    assert [r.loan_sequence_num for r in bad.collect()] == ["L2"]
