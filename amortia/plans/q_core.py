@@ -198,3 +198,13 @@ def notebook_quarters(spark, sf_dir):
                                        F.countDistinct("loan_sequence_num").alias("n_loans"),
                                        F.count("credit_score").alias("n_matched"),
                                        F.round(F.sum("cur_actual_UPB"), 2).alias("total_balance"))
+
+
+@register("sentinel_filter_strict", with_views(PO, JOINED_CTE, """
+SELECT row_key, credit_score, ori_DTI, property_valuation_method, channel FROM joined
+WHERE credit_score IS DISTINCT FROM 9999 AND ori_DTI IS DISTINCT FROM 999 AND property_valuation_method IS DISTINCT FROM 9"""))
+def sentinel_filter_strict(spark, sf_dir):
+    """Faithful mode of the sentinel filter: channel '9' rows are kept, as the published
+    comparison of the text channel with the number 9 removes nothing."""
+    return (clean.sentinel_filter(joined(spark, sf_dir), strict_reference=True)
+            .select("row_key", "credit_score", "ori_DTI", "property_valuation_method", "channel"))
