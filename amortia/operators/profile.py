@@ -138,20 +138,24 @@ def null_counts(df: DataFrame) -> DataFrame:
 def value_share(df: DataFrame, columns: Sequence[str], decimals: int = 4) -> DataFrame:
     """Per column and value (null included): count and share of all rows in percent.
 
-    One pass: the row total of a column is the sum of its value counts, taken with a window
-    over the (small) counts table instead of a second scan."""
+    One scan: value counts come from a partial aggregate over the unpivoted columns, and each
+    column's row total is the sum of its counts — a second small aggregate (one row per
+    column, so its broadcast is bounded by the schema), not a window that would put all of a
+    column's distinct values in one task."""
     long = to_long(df, columns)
     counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count"))
-    total = F.sum("count").over(Window.partitionBy("column_name"))
-    return (counts.withColumn("share_pct", F.round(F.col("count") * 100.0 / total, decimals))
+    totals = counts.groupBy("column_name").agg(F.sum("count").alias("__total"))
+    return (counts.join(F.broadcast(totals), "column_name")
+                  .withColumn("share_pct", F.round(F.col("count") * 100.0 / F.col("__total"), decimals))
+                  .drop("__total")
                   .orderBy("column_name", F.desc("share_pct"), "value"))
 
 
 def value_share_of(df: DataFrame, column: str, decimals: int = 4) -> DataFrame:
-    """Value counts of one column (null included) with their share in percent, one pass."""
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("count"))
-    total = F.sum("count").over(Window.partitionBy())
-    return counts.withColumn("share_pct", F.round(F.col("count") * 100.0 / total, decimals))
+    """Value counts of one column (null included) with their share in percent, one scan."""
+    share = value_share(df, [column], decimals)
+    kind = dict(df.dtypes)[column]
+    return share.select(F.col("value").cast(kind).alias(column), "count", "share_pct")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
