@@ -117,3 +117,19 @@ def test_malformed_lines_are_quarantined(spark):
     good, bad = text_drops.split_corrupt(df.cache())
     assert [r.loan_sequence_num for r in good.collect()] == ["L1"]
     assert [r.loan_sequence_num for r in bad.collect()] == ["L2"]
+
+
+def test_dedup_first_without_row_id_is_deterministic(spark):
+    rows = [("L", "1", 202001.0, 5.0, "b"), ("L", "1", 202001.0, 3.0, "a"), ("L", "1", 202002.0, 1.0, "c")]
+    df = spark.createDataFrame(rows, "loan_sequence_num string, quarter string, monthly_reporting_period double, "
+                                     "v double, w string")
+    a = clean.dedup_first(df).collect()
+    b = clean.dedup_first(df.repartition(3)).collect()
+    assert a == b and (a[0].v, a[0].w) == (3.0, "a")   # earliest period, then smallest remaining values
+
+
+def test_model_contract_requires_features(spark):
+    from amortia.plans.scoring import LoanModel
+    df = spark.createDataFrame([("L1", "1")], "loan_sequence_num string, quarter string")
+    with pytest.raises(ValueError, match="required"):
+        LoanModel(spark, "/nonexistent").infer(df)
