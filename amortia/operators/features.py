@@ -86,6 +86,27 @@ def one_hot_transform(df: DataFrame, state: DataFrame | list, on_unknown: str =
     return encoded if keep_source else encoded.drop(*by_col)
 
 
+def split_unknown_categories(df: DataFrame, state: DataFrame | list) -> tuple[DataFrame, DataFrame]:
+    """Quarantine policy for unseen categories: (rows whose categories are all known,
+    rows with at least one unknown category plus an ``unknown_in`` array naming the columns).
+    A pure filter on literal category sets, so it streams and partitions like any filter."""
+    rows = state.collect() if isinstance(state, DataFrame) else state
+    by_col: dict[str, list] = {}
+    for r in rows:
+        by_col.setdefault(r["column_name"], []).append(r["category"])
+    flags = []
+    for c, cats in by_col.items():
+        known = [x for x in cats if x is not None]
+        v = _as_category(c)
+        ok = v.isin(*known) if known else F.lit(False)
+        if any(x is None for x in cats):
+            ok = ok | v.isNull()
+        flags.append(F.when(~F.coalesce(ok, F.lit(False)), F.lit(c)))
+    marked = df.withColumn("unknown_in", F.filter(F.array(*flags), lambda x: x.isNotNull()))
+    bad = F.size("unknown_in") > 0
+    return marked.filter(~bad).drop("unknown_in"), marked.filter(bad)
+
+
 def encoded_feature_names(state_rows: list) -> list[str]:
     return [r["feature_name"] for r in sorted(state_rows, key=lambda r: (r["column_name"], r["position"]))
             if r["position"] > 0]

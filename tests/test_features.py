@@ -99,3 +99,12 @@ def test_text_summary_ties_and_coverage_with_nulls(spark):
     assert cov["t"].non_null == 4 and cov["t"].num_unique_values == 2 and cov["t"].coverage_ratio == 0.8
     assert cov["x"].non_null == 3 and cov["x"].num_unique_values == 2 and cov["x"].dtype == "double"
     assert [r.column_name for r in profile.coverage_profile(df, 0.7).collect()] == ["t"]
+
+
+def test_unknown_categories_quarantined(spark):
+    fit = spark.createDataFrame([("a", "x"), ("b", None)], "channel string, region string")
+    state = features.fit_one_hot(fit, ["channel", "region"]).collect()
+    new = spark.createDataFrame([("a", "x"), ("z", "x"), ("b", "q"), ("a", None)], "channel string, region string")
+    good, bad = features.split_unknown_categories(new, state)
+    assert sorted(((r.channel, r.region) for r in good.collect()), key=repr) == [("a", "x"), ("a", None)]
+    assert sorted((r.channel, list(r.unknown_in)) for r in bad.collect()) == [("b", ["region"]), ("z", ["channel"])]
