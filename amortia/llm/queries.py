@@ -29,6 +29,14 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+@register("op6_minhash_hamming_join")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from amortia.llm import near_dup
+
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=2, similarity=0.8).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
 @register("op8_bpe_encode_decode")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from amortia.llm import bpe
