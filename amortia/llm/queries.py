@@ -29,6 +29,13 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+@register("op4_suffix_sort_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from amortia.llm import suffix_dedup
+
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @register("op6_minhash_hamming_join")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from amortia.llm import near_dup
