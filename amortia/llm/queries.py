@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from amortia.llm import line_templates, quality
 from amortia.llm.common import table
 from amortia.session import work_path
 
@@ -29,6 +31,18 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+@register("op1_quality_rules", quality.ORACLE)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@register("op5_line_templates", line_templates.ORACLE)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_templates.drop_recurring_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @register("op4_suffix_sort_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from amortia.llm import suffix_dedup
