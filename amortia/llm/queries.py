@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amortia.llm import line_templates, quality
+from amortia.llm import decontam, line_templates, quality
 from amortia.llm.common import table
 from amortia.session import work_path
 
@@ -58,6 +58,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "kept")
 
 
+@register("op7_positional_index_decontam", decontam.ORACLE)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("k")
+
+
 @register("op8_bpe_encode_decode")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from amortia.llm import bpe
