@@ -43,6 +43,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@register("op3_bloom_lm_scoring")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from amortia.llm import bloom_lm
+
+    return bloom_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 @register("op4_suffix_sort_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from amortia.llm import suffix_dedup
