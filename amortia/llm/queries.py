@@ -77,6 +77,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+@register("op9_centroid_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from amortia.llm import langid
+
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 @register("op10_wavelet_token_shards")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from amortia.llm import wavelet
