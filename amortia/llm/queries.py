@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amortia.llm import decontam, line_templates, quality
+from amortia.llm import chat, decontam, line_templates, quality
 from amortia.llm.common import table
 from amortia.session import work_path
 
@@ -43,6 +43,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@register("op2_tool_call_linking", chat.ORACLE)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat.calls_of(table(spark, sf_dir, "conversations"))
+    return chat.link_tool_calls(calls, results, chat.SCHEMAS).select(
+        "conv_id", "call_id", "turn", "name", "depth", "ordinal", "status", "valid", F.sha2("message", 256).alias("message_sha256"))
+
+
 @register("op3_bloom_lm_scoring")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from amortia.llm import bloom_lm
