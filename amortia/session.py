@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -20,6 +21,8 @@ SCALE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+    # Split a hot join partition even where an aggregate above then needs its own exchange.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.autoBroadcastJoinThreshold": "64m",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
@@ -61,7 +64,9 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
-    # Only reached when the session names no shared folder, i.e. local runs.
+    # A folder of this machine serves local runs only; on a cluster the session must name a shared one.
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="amortia-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
@@ -78,9 +83,11 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}"
 
 
-def durable(df):
-    """Cut lineage for a table read several times: ``checkpoint()`` into the session's shared
-    checkpoint folder (reliable, unlike a local checkpoint), so later passes and retries
-    after executor loss read the written copy instead of replaying the plan."""
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def durable(df, name: str = "durable"):
+    """Cut lineage for a table read several times: write it as Parquet under the shared folder and
+    read it back, so later passes prune columns and retries after executor loss start from the
+    written copy instead of replaying the plan."""
+    spark = df.sparkSession
+    path = work_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
