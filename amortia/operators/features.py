@@ -194,20 +194,48 @@ def undersample(df: DataFrame, label: str, key: str, seed: int = RANDOM_STATE) -
 
 # --- end-to-end preparations (I13, I14) ----------------------------------------------------
 
+def feature_row_key(df: DataFrame, columns: Sequence[str]) -> Column:
+    """Key of a feature row from its published columns alone (null is its own value; numbers in
+    millionths, so any engine makes the same text), for the split and the sampling of drops,
+    which carry no row id."""
+    kinds = dict(df.dtypes)
+
+    def text(c: str) -> Column:
+        x = F.round(F.col(c) * 1_000_000).cast("bigint") if kinds[c] == "double" else F.col(c)
+        return F.coalesce(x.cast("string"), F.lit("-"))
+
+    return F.sha2(F.concat_ws("|", *[text(c) for c in columns]), 256)
+
+
+def training_rows(joined: DataFrame, strict_reference: bool = False, id_col: str = "row_key") -> DataFrame:
+    """Label -> feature-row dedup -> region -> sentinels, written once to the shared folder (the
+    imputation mean and the cleaned rows both read it). The sentinel tests look only at dedup
+    keys, so they go under the dedup. Duplicate feature rows collapse to one; the key is the
+    smallest row id, or the hash of the feature row where the input has no id."""
+    has_id = id_col in joined.columns
+    df = clean.with_target(joined.select(*FEATURES_RETRAIN, *([id_col] if has_id else [])))
+    df = clean.sentinel_filter(df, strict_reference)
+    feats = [c for c in df.columns if c != id_col]
+    if has_id:
+        df = df.groupBy(*feats).agg(F.min(id_col).alias(id_col))
+    else:
+        df = df.dropDuplicates()
+        df = df.withColumn(id_col, feature_row_key(df, feats))
+    return durable(clean.with_region(df, drop_state=True).drop("cur_LDS"), "training-rows")
+
+
 def prepare_training(joined: DataFrame, strict_reference: bool = False,
                      id_col: str = "row_key") -> DataFrame:
-    """Label -> feature-row dedup -> region -> sentinels -> imputation -> ranges, before
-    encoding. Duplicate feature rows collapse to one, keeping the smallest row id so the
-    split and sampling have a stable key. Runs one job (the de-duplicated table is written
-    to the shared folder); the returned frame reads that copy."""
-    cols = [c for c in FEATURES_RETRAIN] + [id_col]
-    df = clean.with_target(joined.select(*cols))
-    feats = [c for c in df.columns if c != id_col]
-    df = df.groupBy(*feats).agg(F.min(id_col).alias(id_col))
-    df = clean.with_region(df, drop_state=True).drop("cur_LDS")
-    # The imputation mean and the cleaned rows both read the de-duplicated table: write it
-    # once to the shared folder instead of running the join and the dedup twice.
-    return clean.clean_loan_months(durable(df), strict_reference)
+    """Label -> feature-row dedup -> region -> sentinels -> imputation -> ranges, before encoding."""
+    return prepare_training_with_mean(joined, strict_reference, id_col)[0]
+
+
+def prepare_training_with_mean(joined: DataFrame, strict_reference: bool = False,
+                               id_col: str = "row_key") -> tuple[DataFrame, DataFrame]:
+    """The prepared rows, and the one-row table of the imputation mean that they were filled with
+    (kept with the model: streams impute with it)."""
+    rows = training_rows(joined, strict_reference, id_col)
+    return clean.range_filter(clean.impute_sentinel(rows)), clean.sentinel_mean(rows)
 
 
 def prepare_scoring(joined: DataFrame, bounds: DataFrame | list, state: DataFrame | list | None = None,
@@ -216,12 +244,11 @@ def prepare_scoring(joined: DataFrame, bounds: DataFrame | list, state: DataFram
     """Keyed keep-first dedup per (loan, quarter) -> region -> sentinels -> imputation (batch
     mean unless a stored mean is given) -> ranges -> encode (optional) -> scale. The quarter
     travels with the row, so no re-attach join is needed."""
-    df = clean.dedup_first(joined)
-    df = clean.with_region(df, drop_state=True)
+    df = clean.sentinel_filter(clean.with_region(clean.dedup_first(joined), drop_state=True), strict_reference)
     if eltv_mean is None:
         # Batch mean: two passes over the de-duplicated rows, so read them from one written copy.
-        df = durable(df)
-    df = clean.clean_loan_months(df, strict_reference, eltv_mean)
+        df = durable(df, "scoring-rows")
+    df = clean.range_filter(clean.impute_sentinel(df, mean=eltv_mean))
     if state is not None:
         df = one_hot_transform(df, state, on_unknown, keep_source=True)
     return min_max_transform(df, bounds)

@@ -81,6 +81,8 @@ SELECT applicant_id, errors, len(errors) = 0 AS is_valid FROM (
     CASE WHEN mi_pct IS NULL THEN 'missing:mi_pct' END,
     CASE WHEN loan_start_date IS NULL THEN 'missing:loan_start_date' END,
     CASE WHEN credit_score IS NULL THEN 'missing:credit_score' END,
+    CASE WHEN num_borrowers IS NULL THEN 'missing:num_borrowers' END,
+    CASE WHEN property_state IS NULL THEN 'missing:property_state' END,
     CASE WHEN NOT (term_years BETWEEN 1 AND 30) THEN 'range:term_years' END,
     CASE WHEN NOT (mi_pct BETWEEN 0 AND 55) THEN 'range:mi_pct' END,
     CASE WHEN NOT (credit_score BETWEEN 300 AND 850) THEN 'range:credit_score' END], lambda e: e IS NOT NULL) AS errors

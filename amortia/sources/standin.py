@@ -35,7 +35,7 @@ FROM {lineitem}
 """
 
 ORIGINATION_SQL = """
-SELECT CAST(o_orderkey AS VARCHAR(20)) AS loan_sequence_num,
+SELECT CASE WHEN o_orderkey % 97 = 0 THEN concat('x', o_orderkey) ELSE CAST(o_orderkey AS VARCHAR(20)) END AS loan_sequence_num,
        CAST(o_orderkey % 4 + 1 AS VARCHAR(1)) AS quarter,
        CASE WHEN o_orderkey % 101 = 0 THEN CAST(9999 AS DOUBLE) ELSE CAST(550 + o_orderkey * 7 % 301 AS DOUBLE) END AS credit_score,
        CASE WHEN o_orderkey % 3 = 0 THEN 'Y' ELSE 'N' END AS first_time_homebuyer,
@@ -54,7 +54,6 @@ SELECT CAST(o_orderkey AS VARCHAR(20)) AS loan_sequence_num,
             WHEN o_orderkey % 31 = 0 THEN CAST(NULL AS DOUBLE)
             ELSE CAST(1 + o_orderkey % 3 AS DOUBLE) END AS property_valuation_method
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey
-WHERE o_orderkey % 97 <> 0
 """
 
 SCORED_SQL = """
@@ -80,7 +79,9 @@ SELECT o_orderkey AS applicant_id,
        CAST(o_orderkey % 13 * 5 AS DOUBLE) AS mi_pct,
        CAST(280 + o_orderkey % 600 AS INT) AS credit_score,
        CAST(o_orderdate AS DATE) AS loan_start_date,
-       CASE WHEN o_orderkey % 6 = 0 THEN CAST(NULL AS VARCHAR(1)) ELSE 'C' END AS loan_purpose
+       CASE WHEN o_orderkey % 6 = 0 THEN CAST(NULL AS VARCHAR(1)) ELSE 'C' END AS loan_purpose,
+       CASE WHEN o_orderkey % 37 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST(1 + o_orderkey % 2 AS DOUBLE) END AS num_borrowers,
+       CASE WHEN o_orderkey % 43 = 0 THEN CAST(NULL AS VARCHAR(2)) WHEN o_orderkey % 2 = 0 THEN 'CA' ELSE 'TX' END AS property_state
 FROM {orders}
 """
 

@@ -92,7 +92,7 @@ def test_ledger_open_close_and_state(spark):
     root = tempfile.mkdtemp(prefix="ledger-")
     t0 = dt.datetime(2025, 7, 1, 16, 30, 15)
     v = ledger.open_run(spark, root, 1, "drop.zip", t0)
-    assert v == "20250701_163015"
+    assert v.startswith("20250701_163015_")
     ledger.close_run(spark, root, v, False, "evaluation-20250701.json", t0 + dt.timedelta(minutes=5))
     ledger.record_scoring(spark, root, 1, "predictions.csv", t0)
     ev = ledger.read_events(spark, root)
