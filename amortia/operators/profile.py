@@ -195,93 +195,49 @@ def quantiles(df: DataFrame, value: str, groups: Sequence[str], probs: Sequence[
 
 
 def exact_quantiles(df: DataFrame, value: str, groups: Sequence[str], probs: Sequence[float],
-                    buckets: int = 4096, finish_at: int = 1_000_000, max_rounds: int = 200) -> DataFrame:
+                    partitions: int | None = None) -> DataFrame:
     """Exact quantiles without holding a group in one task.
 
-    Rows collapse to distinct (group, value, count). For every group and needed rank
-    (floor and ceil of p * (n - 1)) a search range starts at the group's [min, max]. Each
-    round buckets the values inside every open range (one grouped count, at most
-    ``buckets`` rows per target), keeps the bucket holding the rank and shrinks the range
-    to that bucket's actual min and max. A range with at most ``finish_at`` distinct values
-    is settled by a running sum over just those values; a whole group with at most
-    ``finish_at`` distinct values goes straight to the built-in ``percentile`` with counts
-    as frequencies. Every step is a grouped aggregate or a window over a bounded set, and
-    only the number of open targets reaches the driver per round."""
+    Rows collapse to distinct (group, value, count) by partial aggregation and are range-partitioned on
+    (group, value), so partitions hold equal numbers of distinct values however they are spread. The
+    partition that holds a needed rank (floor and ceil of p * (n - 1)) follows from one total per
+    group and partition; the value follows from a running sum inside that partition."""
     from amortia.session import durable
 
     g = list(groups)
-    v = F.col("__v")
-    counts = durable(df.filter(F.col(value).isNotNull())
-                       .groupBy(*g, F.col(value).cast("double").alias("__v"))
-                       .agg(F.count(F.lit(1)).alias("__c")))
-    stats = counts.groupBy(*g).agg(F.sum("__c").alias("__n"), F.min("__v").alias("__lo"),
-                                   F.max("__v").alias("__hi"), F.count(F.lit(1)).alias("__d"))
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = (df.filter(F.col(value).isNotNull()).groupBy(*g, F.col(value).cast("double").alias("__v"))
+                .agg(F.count(F.lit(1)).alias("__c")))
+    # Written once: the totals and the running sums must see the same partitions.
+    per = durable(counts.repartitionByRange(n, *g, "__v").withColumn("__part", F.spark_partition_id()), "quantiles")
+    whole = Window.partitionBy(*g)  # one row per partition
+    up_to = F.sum("__t").over(whole.orderBy("__part"))
+    totals = per.groupBy(*g, "__part").agg(F.sum("__c").alias("__t")).withColumns(
+        {"__before": up_to - F.col("__t"), "__n": F.sum("__t").over(whole)})
     need = []
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.col("__n") - 1)
         need.append(F.struct(F.lit(i).alias("pi"), pos.alias("pos"), F.floor(pos).cast("long").alias("k0"),
                              F.ceil(pos).cast("long").alias("k1")))
-    wanted = stats.select(*g, F.explode(F.array(*need)).alias("w")).select(*g, "w.*")
-    probs_col = F.array(*[F.lit(float(p)) for p in probs])
-    # Groups with at most ``finish_at`` distinct values: the built-in percentile over the
-    # (value, count) rows — its buffer is bounded by ``finish_at`` distinct values.
-    small = stats.filter(F.col("__d") <= finish_at).select(*g)
-    q_small = counts.join(small, g, "left_semi").groupBy(*g).agg(
-        F.percentile(F.col("__v"), probs_col, F.col("__c")).alias("q"))
-    large = stats.filter(F.col("__d") > finish_at)
-    if large.count() == 0:
-        return q_small
-    counts = counts.join(large.select(*g), g, "left_semi")
-    stats = large
-    wanted = wanted.join(large.select(*g), g, "left_semi")
-    ranks = wanted.select(*g, F.col("k0").alias("k")).unionByName(wanted.select(*g, F.col("k1").alias("k"))).distinct()
-    settled = []
-
-    # Larger groups: shrink a value range per rank until it is small enough to settle.
-    open_t = (ranks.join(stats.filter(F.col("__d") > finish_at), g)
-                   .select(*g, "k", "__lo", "__hi", "__d", F.lit(0).cast("long").alias("__below")))
-    for _ in range(max_rounds):
-        open_t = durable(open_t)
-        done = open_t.filter((F.col("__lo") == F.col("__hi")) | (F.col("__d") <= finish_at))
-        settled.append(_settle(counts, done, g))
-        open_t = open_t.filter((F.col("__lo") < F.col("__hi")) & (F.col("__d") > finish_at))
-        if open_t.count() == 0:
-            break
-        in_range = (counts.join(open_t, g)
-                    .filter(v.between(F.col("__lo"), F.col("__hi"))))
-        b = F.least(F.floor((v - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * buckets).cast("int"),
-                    F.lit(buckets - 1))
-        hist = in_range.groupBy(*g, "k", "__below", b.alias("__b")).agg(
-            F.sum("__c").alias("__hc"), F.min("__v").alias("__bmin"), F.max("__v").alias("__bmax"),
-            F.count(F.lit(1)).alias("__bd"))
-        w = Window.partitionBy(*g, "k").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-        hist = hist.withColumn("__cum", F.sum("__hc").over(w))
-        pick = hist.filter((F.col("__below") + F.col("__cum") - F.col("__hc") <= F.col("k"))
-                           & (F.col("__below") + F.col("__cum") > F.col("k")))
-        open_t = pick.select(*g, "k", F.col("__bmin").alias("__lo"), F.col("__bmax").alias("__hi"),
-                             F.col("__bd").alias("__d"),
-                             (F.col("__below") + F.col("__cum") - F.col("__hc")).alias("__below"))
-    else:
-        raise RuntimeError("quantile search did not settle")
-    found = settled[0]
-    for s_ in settled[1:]:
-        found = found.unionByName(s_)
-    x0 = found.select(*g, F.col("k").alias("k0"), F.col("__x").alias("x0"))
-    x1 = found.select(*g, F.col("k").alias("k1"), F.col("__x").alias("x1"))
-    res = wanted.join(x0, g + ["k0"]).join(x1, g + ["k1"])
-    val = F.col("x0") + (F.col("pos") - F.col("k0")) * (F.col("x1") - F.col("x0"))
-    arr = F.transform(F.array_sort(F.collect_list(F.struct(F.col("pi"), val.alias("x")))), lambda e: e["x"])
-    return q_small.unionByName(res.groupBy(*g).agg(arr.alias("q")))
-
-
-def _settle(counts: DataFrame, targets: DataFrame, g: list[str]) -> DataFrame:
-    """Value at rank k for targets whose range holds one value or few distinct values."""
-    v = F.col("__v")
-    rows = counts.join(targets, g).filter(v.between(F.col("__lo"), F.col("__hi")))
-    w = Window.partitionBy(*g, "k").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = rows.withColumn("__cum", F.col("__below") + F.sum("__c").over(w))
-    hit = ranked.filter((F.col("__cum") - F.col("__c") <= F.col("k")) & (F.col("__cum") > F.col("k")))
-    return hit.select(*g, "k", F.col("__v").alias("__x"))
+    # Every (rank, partition that holds it): partitions of a group cover its ranks exactly once.
+    at = totals.select(*g, "__part", "__before", "__t", F.explode(F.array(*need)).alias("w")).select(*g, "__part", "__before", "__t", "w.*")
+    at = at.select("*", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("k0").alias("k")),
+                                          F.struct(F.lit(1).alias("end"), F.col("k1").alias("k")))).alias("e"))
+    at = (at.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(g)], F.col("__part").alias("__p"), "__before", "__t", "pi", "pos", "k0", "e.*")
+            .filter((F.col("k") >= F.col("__before")) & (F.col("k") < F.col("__before") + F.col("__t"))))
+    inside = Window.partitionBy(*g, "__part").orderBy("__v")
+    same = F.col("__part") == F.col("__p")
+    for i, c in enumerate(g):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    # only partitions that hold a needed rank are summed up
+    run = per.join(at, same, "left_semi").withColumn("__upto", F.sum("__c").over(inside))
+    rank = F.col("k") - F.col("__before")
+    hit = run.join(at, same & (rank >= F.col("__upto") - F.col("__c")) & (rank < F.col("__upto")))
+    value_at = lambda end: F.max(F.when(F.col("end") == end, F.col("__v")))
+    one = hit.groupBy(*g, "pi", "pos", "k0").agg(value_at(0).alias("x0"), value_at(1).alias("x1"))
+    x = F.col("x0") + (F.col("pos") - F.col("k0")) * (F.col("x1") - F.col("x0"))
+    arr = F.transform(F.array_sort(F.collect_list(F.struct(F.col("pi"), x.alias("x")))), lambda e: e["x"])
+    return one.groupBy(*g).agg(arr.alias("q"))
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:

@@ -94,13 +94,10 @@ def impute_mean(spark, sf_dir):
     return clean.impute_sentinel(b5, mean=mean).select("row_key", "ELTV", mean.alias("eltv_mean"))
 
 
-DEDUP_FULL_COLS = ["loan_sequence_num", "quarter", "loan_age", "cur_int_rate", "credit_score",
-                   "occupancy_status", "channel", "property_state"]
-
-
-@register("dedup_full", with_views(PO, JOINED_CTE, f"SELECT DISTINCT {', '.join(DEDUP_FULL_COLS)} FROM joined"))
+# Whole rows of the joined table (the row id is the stand-in's own and would make every row unique).
+@register("dedup_full", with_views(PO, JOINED_CTE, "SELECT DISTINCT * EXCLUDE (row_key) FROM joined"))
 def dedup_full(spark, sf_dir):
-    return clean.dedup_rows(joined(spark, sf_dir).select(*DEDUP_FULL_COLS))
+    return clean.dedup_rows(joined(spark, sf_dir).drop("row_key"))
 
 
 @register("dedup_features", with_views(PO, JOINED_CTE, f"""

@@ -124,16 +124,12 @@ def null_counts(spark, sf_dir):
     return profile.null_counts(joined(spark, sf_dir))
 
 
-DUP_COLS = ["loan_sequence_num", "quarter", "loan_age", "cur_int_rate", "credit_score",
-            "occupancy_status", "channel", "property_state"]
-
-
-@register("duplicate_count", with_views(PO, JOINED_CTE, f"""
+@register("duplicate_count", with_views(PO, JOINED_CTE, """
 SELECT (SELECT count(*) FROM joined) AS rows_before, count(*) AS rows_after,
        (SELECT count(*) FROM joined) - count(*) AS duplicated_rows
-FROM (SELECT DISTINCT {', '.join(DUP_COLS)} FROM joined) d"""))
+FROM (SELECT DISTINCT * EXCLUDE (row_key) FROM joined) d"""))
 def duplicate_count(spark, sf_dir):
-    return profile.duplicate_count(joined(spark, sf_dir).select(*DUP_COLS))
+    return profile.duplicate_count(joined(spark, sf_dir).drop("row_key"))
 
 
 @register("distinct_values", with_views(["performance"], "", """

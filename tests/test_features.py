@@ -67,7 +67,7 @@ def test_exact_quantiles_match_numpy_with_forced_refinement(spark):
     rows = [(g, float(x)) for g, xs in vals.items() for x in xs]
     df = spark.createDataFrame(rows, "g string, x double")
     probs = [0.25, 0.5, 0.75]
-    got = {r.g: r.q for r in profile.exact_quantiles(df, "x", ["g"], probs, buckets=8, finish_at=20).collect()}
+    got = {r.g: r.q for r in profile.exact_quantiles(df, "x", ["g"], probs, partitions=5).collect()}
     for g, xs in vals.items():
         assert got[g] == pytest.approx(list(np.quantile(xs, probs)), rel=1e-12, abs=1e-12), g
 

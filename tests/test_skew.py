@@ -41,7 +41,7 @@ def test_quantiles_on_hot_group(skewed):
     rows = skewed.select("loan_sequence_num", "v").collect()
     hot = np.array([r.v for r in rows if r.loan_sequence_num == "HOT"])
     q = {r.loan_sequence_num: r.q for r in profile.exact_quantiles(skewed, "v", ["loan_sequence_num"], [0.5],
-                                                                   buckets=4, finish_at=10).collect()}
+                                                                   partitions=4).collect()}
     assert q["HOT"][0] == pytest.approx(float(np.quantile(hot, 0.5)))
 
 
