@@ -20,8 +20,17 @@ BROADCAST_ROWS = 500_000
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Bounds of what one Arrow batch brings into a Python worker (texts and sets vary much in length).
+BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4096", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+ARROW_DEFAULTS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000"}
+
+
 def ship(spark: SparkSession) -> None:
-    """Hand this package's code to the executors (once per application), as ``--py-files`` does."""
+    """Prepare Python tasks: bound Arrow batches (where the session has not set them) and hand this package's code to
+    the executors (once per application), as ``--py-files`` does."""
+    for key, value in BATCH_CONF.items():
+        if spark.conf.get(key, None) in (None, ARROW_DEFAULTS.get(key), str((1 << 31) - 1), str((1 << 63) - 1)):
+            spark.conf.set(key, value)
     sc = spark.sparkContext
     if getattr(sc, "_amortia_shipped", False):
         return
