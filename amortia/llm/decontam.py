@@ -128,8 +128,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
     """The input rows without those that hold a window of a benchmark item."""
-    bad = staged(phrase_matches(docs, benchmark, window, text).select("d", "k").distinct(), "contaminated")
-    return docs.join(broadcast_if_small(bad), (F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == F.col("d")) & (text_key(docs[text]) == F.col("k")), "left_anti")
+    bad = staged(phrase_matches(docs, benchmark, window, text).select(F.col("d").alias("__llm_id"), F.col("k").alias("__llm_key")).distinct(), "contaminated")
+    return docs.join(broadcast_if_small(bad), (F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == F.col("__llm_id"))
+                     & (text_key(docs[text]) == F.col("__llm_key")), "left_anti")
 
 
 ORACLE = f"""

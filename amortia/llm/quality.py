@@ -128,9 +128,9 @@ def score(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> Data
 def filter_documents(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """The input rows that are kept, with their columns."""
     gone = staged(score(docs, text, min_docs).where("not kept").select(
-        F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key"), F.col("lang").alias("g_lang"), F.col("source").alias("g_source")).distinct(), "rejected")
-    return docs.join(broadcast_if_small(gone), docs["doc_id"].eqNullSafe(F.col("g_id")) & (text_key(docs[text]) == F.col("g_key"))
-                     & docs["lang"].eqNullSafe(F.col("g_lang")) & docs["source"].eqNullSafe(F.col("g_source")), "left_anti")
+        F.col("doc_id").alias("__llm_id"), F.col("text_key").alias("__llm_key"), F.col("lang").alias("__llm_lang"), F.col("source").alias("__llm_source")).distinct(), "rejected")
+    return docs.join(broadcast_if_small(gone), docs["doc_id"].eqNullSafe(F.col("__llm_id")) & (text_key(docs[text]) == F.col("__llm_key"))
+                     & docs["lang"].eqNullSafe(F.col("__llm_lang")) & docs["source"].eqNullSafe(F.col("__llm_source")), "left_anti")
 
 
 def _oracle() -> str:
