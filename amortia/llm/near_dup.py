@@ -2,17 +2,20 @@
 
 Every document's set of word shingles gets a signature of ``CHUNKS * WIDTH`` b-bit min-hash symbols (b = 16).
 The distance of two signatures is the number of differing symbols. The signature is split into
-``CHUNKS`` chunks; by pigeonhole two signatures at distance <= CHUNKS * (ERRORS + 1) - 1 = 23 of 60 have a chunk
+``CHUNKS`` chunks; by pigeonhole two signatures at distance <= CHUNKS * (ERRORS + 1) - 1 = 31 of 112 have a chunk
 with at most ``ERRORS`` = 1 difference, so every chunk is entered in the index once for each symbol that may
 differ (that symbol left out): all pairs under the threshold share a key, with certainty. Two sets of
-Jaccard similarity 0.8 also share a key beyond the threshold unless all 12 chunks have two or more
-differences: probability (1 - 0.8**5 - 5 * 0.2 * 0.8**4)**12 = 1e-7, less for more similar ones.
+Jaccard similarity 0.8 also share a key beyond the threshold unless all 16 chunks have two or more
+differences: probability (1 - 0.8**7 - 7 * 0.2 * 0.8**6)**16 = 1e-6, less for more similar ones. (Six symbols
+that must agree keep documents that merely share a passage apart: similarity 0.3 shares a key with 6 %.)
 
 Equal sets are one class first (a third of all rows may be copies), and only classes are indexed.
 Members of a key are never paired with each other at once: they are compared with a centre per key,
-components are formed, and only members in other components than the rest of their key go on: to other
-centres, then (what is left) to every member of another component. So no link between components is
-lost, and a large group costs about its size. Links are confirmed on the full sets.
+components are formed, and only members in other components than the rest of their key go on: to the most
+central member, then (what is left) to every member of another component that a bound lets through. The bound
+counts the shingles that a member shares with no other: two sets of sizes n, m with e, f such shingles have at most
+min(n - e, m - f) in common. So no link between components is lost, and a large group of copies with edits of
+their own costs about its size. Links are confirmed on the full sets.
 
 Cases: null or empty text, or text without a word, has an empty set and links with nothing; a text of
 fewer words than a shingle has its whole word sequence as the one shingle; repeated rows are members of
@@ -28,15 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from amortia.llm.bytesvec import NOT_SPACE, Spans, lower_ascii, mix, text_blocks, word_spans
-from amortia.llm.common import broadcast_if_small, ship, staged, text_key
+from amortia.llm.common import broadcast_if_small, ship, shuffle_partitions, staged, text_key
 from amortia.llm.components import components
 
-CHUNKS, WIDTH, ERRORS = 12, 5, 1
+CHUNKS, WIDTH, ERRORS = 16, 7, 1
 SYMBOLS = CHUNKS * WIDTH
-#: Signatures further apart are not compared in full: at similarity 0.8 the distance has mean 12 and
-#: standard deviation 3.1, so 30 is passed over with probability below 1e-7.
-FAR = SYMBOLS // 2
-CENTRE_ROUNDS = 3
+#: Signatures further apart are not compared in full: at similarity 0.8 the distance has mean 22.4 and
+#: standard deviation 4.2, so 48 is passed over with probability below 1e-8.
+FAR = 48
 
 _rng = np.random.default_rng(7)
 _FACTORS = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -115,13 +117,13 @@ def _index_keys(classes: DataFrame) -> DataFrame:
             for c in range(CHUNKS):
                 for out in range(WIDTH):
                     kept = [i for i in range(WIDTH) if i != out]
-                    packed = np.zeros(len(node), np.uint64)
+                    key = np.full(len(node), c * WIDTH + out + 1, np.uint64)
                     for i in kept:
-                        packed = packed << np.uint64(16) | sig[:, c, i]
-                    key = mix(packed ^ mix(np.array([c * WIDTH + out + 1], np.uint64)))
+                        key = mix(key << np.uint64(16) ^ key ^ sig[:, c, i])
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node)], names=["key", "node"])
 
-    return classes.select("node", "sig").mapInArrow(run, "key long, node long")
+    spread = classes.select("node", "sig").repartition(shuffle_partitions(classes.sparkSession), "node")  # a small table, many keys
+    return spread.mapInArrow(run, "key long, node long")
 
 
 def _close(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -216,34 +218,61 @@ def _labels(docs: DataFrame, classes: DataFrame, k: int, similarity: float, text
     links = confirm(members.where("node <> centre").select(*pair("node", "centre")).distinct())
     labels = components(links)
     members = members.where("members > 2").select("key", "node")
-    for attempt in range(1, CENTRE_ROUNDS + 1):
-        # keys whose members are still in more than one component
-        seen = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        order = F.xxhash64(F.lit(attempt), F.col("node"))
-        mixed = (seen.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
-                                         F.min(order).alias("first")).where("lo <> hi").select("key", "first"))
-        members = staged(seen.join(mixed, "key").withColumn("order", order), f"mixed{attempt}")
-        if members.isEmpty():
-            return labels
-        if attempt == CENTRE_ROUNDS:
+
+    # Members of keys that still hold several components. Shingles that no other of them has are dead weight: they
+    # bound the similarity of a pair by two numbers a member, and the member with the least of them is most central.
+    seen, mixed = _mixed(members, labels)
+    members = staged(seen.join(mixed, "key"), "mixed")
+    if members.isEmpty():
+        return labels
+    weight = staged(_dead_weight(members, sets).join(classes.select("node", "n_shingles"), "node"), "weights")
+    members = staged(members.select("key", "node").join(weight.select("node", F.col("dead").alias("e"), F.col("n_shingles").alias("n")), "node"), "mixed")
+    bound = lambda n, e, m, f: (
+        F.least(n - e, m - f) * (1 + similarity) >= similarity * (n + m) - 1e-6)
+    for last in (False, True):
+        seen, mixed = _mixed(members, labels)
+        if last:
             # exact rest: members outside the largest component of their key against all others of the key
-            largest = (members.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key")
-                       .agg(F.max(F.struct("n", "label")).alias("m")).select("key", F.col("m.label").alias("main")))
-            all_ = members.join(largest, "key").select("key", "node", "label", "main")
-            rest = all_.where("label <> main").select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
-            pairs = (rest.join(all_, "key").where("lx <> label").where("label = main or x < node")
-                     .select(*pair("x", "node")).distinct())
+            largest = (seen.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key")
+                       .agg(F.max(F.struct("c", "label")).alias("m")).select("key", F.col("m.label").alias("main")))
+            all_ = seen.join(largest.join(mixed, "key"), "key")
+            rest = all_.where("label <> main").select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("e").alias("ex"))
+            met = rest.join(all_.withColumnRenamed("node", "y"), (rest["key"] == all_["key"]) & (F.col("lx") != F.col("label"))
+                            & ((F.col("label") == F.col("main")) | (F.col("x") < F.col("y")))
+                            & bound(F.col("nx"), F.col("ex"), F.col("n"), F.col("e")))
         else:
-            centre = members.where("order = first").select("key", F.col("node").alias("c"), F.col("label").alias("lc"))
-            pairs = members.join(centre, "key").where("label <> lc").select(*pair("node", "c")).distinct()
-            members = members.select("key", "node")
-        found = confirm(pairs)
+            central = seen.groupBy("key").agg(F.min(F.struct(F.col("e") / F.col("n"), "node", "label", "n", "e")).alias("c"))
+            met = (seen.join(central.join(mixed, "key"), "key").select(F.col("node").alias("x"), "label", "n", "e", "c")
+                   .where(F.col("label") != F.col("c.label")).where(bound(F.col("n"), F.col("e"), F.col("c.n"), F.col("c.e")))
+                   .select("x", F.col("c.node").alias("y")))
+        found = confirm(met.select(*pair("x", "y")).distinct())
         if not found.isEmpty():
             links = staged(links.union(found), "links")
             labels = components(links)
     return labels
 
 
+def _mixed(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with the label of their component, and the keys that hold more than one."""
+    seen = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return seen, seen.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+
+
+def _dead_weight(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, dead): how many shingles of a node no other of the nodes has. Counts are partial sums."""
+    def explode(batches):
+        for b in batches:
+            blobs = [np.frombuffer(x, np.int64) for x in b.column("shingles").to_pylist()]
+            if blobs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(b.column("node")), [len(x) for x in blobs])), pa.array(np.concatenate(blobs))],
+                                                 names=["node", "shingle"])
+
+    nodes = members.select("node").distinct()
+    own = (sets.join(nodes, "node", "left_semi").mapInArrow(explode, "node long, shingle long").groupBy("shingle")
+           .agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("dead")))
+    return nodes.join(own, "node", "left").withColumn("dead", F.coalesce("dead", F.lit(0)))
+
+
 def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
     """The input rows without all but one row of every group of near-duplicates: the one of the smallest
     doc_id (a null id only if the group has no other; then the smallest text key). Rows without a word
@@ -255,15 +284,15 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, t
     gone = staged(grouped.select("doc_id", "text_key").distinct().join(
         best.select(F.col("doc_id").alias("b_id"), F.col("text_key").alias("b_key")),
         F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("text_key") == F.col("b_key")), "left_anti")
-        .select(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key")), "gone")
-    kept = docs.join(broadcast_if_small(gone), docs["doc_id"].cast("long").eqNullSafe(F.col("g_id"))
-                     & (text_key(docs[text]) == F.col("g_key")), "left_anti")
+        .select(F.col("doc_id").alias("__llm_id"), F.col("text_key").alias("__llm_key")), "gone")
+    kept = docs.join(broadcast_if_small(gone), docs["doc_id"].cast("long").eqNullSafe(F.col("__llm_id"))
+                     & (text_key(docs[text]) == F.col("__llm_key")), "left_anti")
     repeated = grouped.groupBy("doc_id", "text_key").count().where("count > 1").join(
         best.withColumnsRenamed({"doc_id": "b_id", "text_key": "b_key"}),
         F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("text_key") == F.col("b_key")), "left_semi")
     if repeated.isEmpty():
         return kept
     # rows that repeat both id and text: one of them stays
-    tmp = kept.withColumn("__key", text_key(F.col(text))).withColumn("__own", F.when(
+    tmp = kept.withColumn("__llm_text_key", text_key(F.col(text))).withColumn("__llm_own", F.when(
         ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]"), F.monotonically_increasing_id()))
-    return tmp.dropDuplicates(["doc_id", "__key", "__own"]).drop("__key", "__own")
+    return tmp.dropDuplicates(["doc_id", "__llm_text_key", "__llm_own"]).drop("__llm_text_key", "__llm_own")
