@@ -34,11 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from amortia.llm.bytesvec import Spans, mix, text_blocks
-from amortia.llm.common import broadcast_if_small, ship, shuffle_partitions, staged
+from amortia.llm.common import ship, shuffle_partitions, staged
 
 SPAN = 100
 GROUP_LIMIT = 20_000
 BLOCK_BYTES = 1 << 20
+FLUSH_BYTES = 4 << 20
+#: A packed side is broadcast when it was measured to be at most this large.
+BROADCAST_BYTES = 32 << 20
 NULL_ID = np.int64(-(1 << 63))
 _RECORD = [("a", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("lo", "<u4"), ("more", "u1"), ("off", "u1")]
 
@@ -297,38 +300,44 @@ def _anchor_stage(rows: DataFrame, span: int, group_limit: int) -> DataFrame:
     def records(batches):
         for b in batches:
             doc, tag = np.asarray(b.column("doc")), np.asarray(b.column("tag"))
-            parts = []
+            parts, size = [], 0
             for first, offsets, data in text_blocks(b.column("text"), BLOCK_BYTES):
                 row, lo, hi, a, ha, hc = anchors_of(data, offsets, span)
                 parts.append({"a": ha, "c": hc, "doc": doc[first + row], "tag": tag[first + row], "lo": lo - offsets[row],
                               "more": hi - lo, "off": a - lo})
-            if not parts:
-                continue
-            rec, _, later = _split_equal({k: np.concatenate([p[k] for p in parts]) for k in parts[0]})
-            spans = _merged(*(rec[k][later] for k in ("doc", "tag", "lo")), (rec["lo"] + rec["more"] + span)[later])
-            keep = np.flatnonzero(~later)
-            # in the order of places, so that documents and places compress
-            keep = keep[np.lexsort((rec["lo"][keep], rec["doc"][keep]))]
-            to = ((rec["a"][keep] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            keep, to = keep[order], to[order]
-            cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
-            ends = np.append(cut[1:], len(to))
-            if len(cut):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(to[cut].astype(np.int32)), pa.array([_pack(rec, keep[i:j]) for i, j in zip(cut.tolist(), ends.tolist())], pa.binary()),
-                     pa.nulls(len(cut), pa.binary())], names=["bucket", "anchors", "spans"])
-            if len(spans[0]):
-                # known spans travel with the documents' own buckets, not with the (hot) anchor's
-                own = (mix(spans[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(own, kind="stable")
-                own = own[order]
-                cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                flat = np.stack([s[order].astype(np.int64) for s in spans], 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[cut].astype(np.int32)), pa.nulls(len(cut), pa.binary()),
-                     pa.array([flat[i:j].tobytes() for i, j in zip(cut.tolist(), np.append(cut[1:], len(own)).tolist())], pa.binary())],
-                    names=["bucket", "anchors", "spans"])
+                size += len(data)
+                if size >= FLUSH_BYTES:
+                    yield from packed(parts)
+                    parts, size = [], 0
+            if parts:
+                yield from packed(parts)
+
+    def packed(parts):
+        rec, _, later = _split_equal({k: np.concatenate([p[k] for p in parts]) for k in parts[0]})
+        spans = _merged(*(rec[k][later] for k in ("doc", "tag", "lo")), (rec["lo"] + rec["more"] + span)[later])
+        keep = np.flatnonzero(~later)
+        # in the order of places, so that documents and places compress
+        keep = keep[np.lexsort((rec["lo"][keep], rec["doc"][keep]))]
+        to = ((rec["a"][keep] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        keep, to = keep[order], to[order]
+        cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
+        ends = np.append(cut[1:], len(to))
+        if len(cut):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(to[cut].astype(np.int32)), pa.array([_pack(rec, keep[i:j]) for i, j in zip(cut.tolist(), ends.tolist())], pa.binary()),
+                 pa.nulls(len(cut), pa.binary())], names=["bucket", "anchors", "spans"])
+        if len(spans[0]):
+            # known spans travel with the documents' own buckets, not with the (hot) anchor's
+            own = (mix(spans[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(own, kind="stable")
+            own = own[order]
+            cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            flat = np.stack([s[order].astype(np.int64) for s in spans], 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own[cut].astype(np.int32)), pa.nulls(len(cut), pa.binary()),
+                 pa.array([flat[i:j].tobytes() for i, j in zip(cut.tolist(), np.append(cut[1:], len(own)).tolist())], pa.binary())],
+                names=["bucket", "anchors", "spans"])
 
     def bucket(table: pa.Table) -> pa.Table:
         known = [np.frombuffer(x, np.int64).reshape(-1, 4) for x in table.column("spans").drop_null().to_pylist()]
@@ -350,30 +359,70 @@ def _anchor_stage(rows: DataFrame, span: int, group_limit: int) -> DataFrame:
         return pa.concat_tables([pa.Table.from_arrays(c, schema=_OUT) for c in cols])
 
     return (rows.select("doc", "tag", "text").mapInArrow(records, "bucket int, anchors binary, spans binary")
-            .groupBy("bucket").applyInArrow(bucket, _OUT_SQL))
+            .repartition(buckets, "bucket").groupBy("bucket").applyInArrow(bucket, _OUT_SQL))
+
+
+def _packed_lists(rows: DataFrame, kinds: list[tuple[str, str]], merge: bool = False) -> DataFrame:
+    """(doc, tag, packed): the rows of each document as one binary of columns, written. A document's rows are at most its
+    length. ``merge`` joins overlapping spans."""
+    names = [n for n, _ in kinds]
+    lists = rows.groupBy("doc", "tag").agg(F.collect_list(F.struct(*names)).alias("rows"))
+
+    def run(batches):
+        for b in batches:
+            blobs = []
+            for found in b.column("rows"):
+                cols = [np.asarray(found.values.field(n)) for n in names]
+                if merge:
+                    z = np.zeros(len(cols[0]), np.int64)
+                    cols = list(_merged(z, z, *cols)[2:])
+                blobs.append(b"".join(c.astype(kind).tobytes() for c, (_, kind) in zip(cols, kinds)))
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("tag"), pa.array(blobs, pa.binary())], names=["doc", "tag", "packed"])
+
+    return staged(lists.mapInArrow(run, "doc long, tag long, packed binary"), "packed")
+
+
+def _unpacked(raw: bytes, kinds: list[tuple[str, str]]) -> list[np.ndarray]:
+    n, at, out = len(raw) // sum(np.dtype(k).itemsize for _, k in kinds), 0, []
+    for _, kind in kinds:
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += out[-1].nbytes
+    return out
+
+
+def _small(packed: DataFrame) -> DataFrame:
+    """Broadcast hint for a packed side that was measured; a larger one is joined by shuffle."""
+    size = packed.agg(F.coalesce(F.sum(F.length("packed") + 40), F.lit(0))).first()[0]
+    return F.broadcast(packed) if size <= BROADCAST_BYTES else packed
+
+
+_PROBE = [("anchor", "<i8"), ("start", "<u4"), ("end", "<u4"), ("off", "u1"), ("big", "u1")]
+_RUN = [("start", "<u4"), ("end", "<u4")]
 
 
 def _contexts(rows: DataFrame, probes: DataFrame, span: int) -> DataFrame:
     """Bytes of the probes' contexts: anchor, doc, tag, lo, more, off, big, context."""
-    per_doc = staged(probes.groupBy("doc", "tag").agg(F.collect_list(F.struct("anchor", "start", "end", "off", "big")).alias("probes")), "probes")
-    ids = per_doc.select("doc", "tag")
-    # Only documents with probes go on to the join (a semi-join of ids when these are few).
-    some = rows.select("doc", "tag", "text").join(broadcast_if_small(ids), ["doc", "tag"], "left_semi").dropDuplicates(["doc", "tag"])
+    per_doc = _packed_lists(probes.withColumn("big", F.col("big").cast("int")), _PROBE)
 
     def run(batches):
         for b in batches:
-            out = {k: [] for k in ("anchor", "doc", "tag", "lo", "more", "off", "big", "context")}
-            for doc, tag, text, probes_ in zip(*(b.column(c).to_pylist() for c in ("doc", "tag", "text", "probes"))):
+            out = [[] for _ in range(8)]
+            for doc, tag, text, raw_probes in zip(*(b.column(c).to_pylist() for c in ("doc", "tag", "text", "packed"))):
                 raw = text.encode()
-                for p in probes_:
-                    for k, v in (("anchor", p["anchor"]), ("doc", doc), ("tag", tag), ("lo", p["start"]), ("more", p["end"] - p["start"]),
-                                 ("off", p["off"]), ("big", p["big"]), ("context", raw[p["start"]:p["end"] + span])):
-                        out[k].append(v)
+                anchor, start, end, off, big = (x.tolist() for x in _unpacked(raw_probes, _PROBE))
+                out[0] += anchor
+                out[1] += [doc] * len(anchor)
+                out[2] += [tag] * len(anchor)
+                out[3] += start
+                out[4] += [j - i for i, j in zip(start, end)]
+                out[5] += off
+                out[6] += [x == 1 for x in big]
+                out[7] += [raw[i:j + span] for i, j in zip(start, end)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()))],
-                names=list(out))
+                [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()))],
+                names=["anchor", "doc", "tag", "lo", "more", "off", "big", "context"])
 
-    return some.join(per_doc, ["doc", "tag"]).mapInArrow(
+    return rows.select("doc", "tag", "text").join(_small(per_doc), ["doc", "tag"]).mapInArrow(
         run, "anchor long, doc long, tag long, lo long, more int, off int, big boolean, context binary")
 
 
@@ -400,7 +449,7 @@ def _sorted_spans(contexts: DataFrame, span: int) -> DataFrame:
         return pa.table({"doc": col["doc"][hit], "tag": col["tag"][hit], "start": place[hit] - most[hit], "end": place[hit] - least[hit] + span})
 
     return (contexts.where("not big").withColumn("bucket", F.pmod(F.col("anchor"), F.lit(buckets))).drop("big")
-            .groupBy("bucket").applyInArrow(run, "doc long, tag long, start long, end long"))
+            .repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, "doc long, tag long, start long, end long"))
 
 
 def _window_spans(contexts: DataFrame, span: int) -> DataFrame:
@@ -421,7 +470,7 @@ def _window_spans(contexts: DataFrame, span: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN, text: str = "text", group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """(doc, tag, spans): for every document with something to remove, the packed (start, end) byte pairs, not merged."""
+    """(doc, tag, packed): for every document with something to remove, its maximal removed runs (starts, then ends, u32)."""
     ship(docs.sparkSession)
     rows = _keyed(docs, text)
     found = staged(_anchor_stage(rows, span, group_limit), "anchors")
@@ -430,30 +479,21 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, text: str = "text", group_
     parts = found.where("kind = 0").select("doc", "tag", "start", "end").unionByName(_sorted_spans(contexts, span))
     if not contexts.where("big").isEmpty():
         parts = parts.unionByName(_window_spans(contexts, span))
-    return parts.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return _packed_lists(parts, _RUN, merge=True)
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, text: str = "text", group_limit: int = GROUP_LIMIT, with_bytes: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and with
     ``with_bytes`` the runs (``removed``: array of start, end) and the ``kept`` bytes."""
     rows = _keyed(docs, text)
-    spans = staged(repeated_spans(docs, span, text, group_limit), "spans")
-    total = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
-    # 16 bytes a span: broadcast below 32 MB, else a shuffled join
-    joined = rows.join(F.broadcast(spans) if total <= 2_000_000 else spans, ["doc", "tag"], "left")
+    joined = rows.join(_small(repeated_spans(docs, span, text, group_limit)), ["doc", "tag"], "left")
 
     def run(batches):
         for b in batches:
             cols = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "kept")}
-            for text_, found in zip(b.column("text").to_pylist(), b.column("spans")):
+            for text_, found in zip(b.column("text").to_pylist(), b.column("packed").to_pylist()):
                 raw = (text_ or "").encode()
-                runs = []
-                if found.is_valid and len(found):
-                    s = np.asarray(found.values.field("start"))
-                    e = np.asarray(found.values.field("end"))
-                    z = np.zeros(len(s), np.int64)
-                    _, _, s, e = _merged(z, z, s, e)
-                    runs = list(zip(s.tolist(), e.tolist()))
+                runs = list(zip(*(x.tolist() for x in _unpacked(found, _RUN)))) if found else []
                 at, kept = 0, []
                 for i, j in runs:
                     kept.append(raw[at:i])
@@ -465,6 +505,6 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, text: str = "text", group_
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id")] + [pa.array(v, t) for v, t in zip(cols.values(), types)], names=["doc_id", *cols])
 
-    out = joined.select("doc_id", "text", "spans").mapInArrow(
+    out = joined.select("doc_id", "text", "packed").mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>, kept binary")
     return out if with_bytes else out.drop("removed", "kept")
