@@ -12,7 +12,7 @@ that must agree keep documents that merely share a passage apart: similarity 0.3
 Equal sets are one class first (a third of all rows may be copies), and only classes are indexed.
 Members of a key are never paired with each other at once: they are compared with a centre per key,
 components are formed, and only members in other components than the rest of their key go on: to the most
-central member, then (what is left) to every member of another component that a bound lets through. The bound
+central member, then (what is left) to the members of other components in blocks, where a bound lets them through. The bound
 counts the shingles that a member shares with no other: two sets of sizes n, m with e, f such shingles have at most
 min(n - e, m - f) in common. So no link between components is lost, and a large group of copies with edits of
 their own costs about its size. Links are confirmed on the full sets.
@@ -39,6 +39,8 @@ SYMBOLS = CHUNKS * WIDTH
 #: Signatures further apart are not compared in full: at similarity 0.8 the distance has mean 22.4 and
 #: standard deviation 4.2, so 48 is passed over with probability below 1e-8.
 FAR = 48
+#: Members of a cluster that one task holds in the exact step.
+BLOCK_MEMBERS = 512
 
 _rng = np.random.default_rng(7)
 _FACTORS = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -229,27 +231,70 @@ def _labels(docs: DataFrame, classes: DataFrame, k: int, similarity: float, text
     members = staged(members.select("key", "node").join(weight.select("node", F.col("dead").alias("e"), F.col("n_shingles").alias("n")), "node"), "mixed")
     bound = lambda n, e, m, f: (
         F.least(n - e, m - f) * (1 + similarity) >= similarity * (n + m) - 1e-6)
-    for last in (False, True):
-        seen, mixed = _mixed(members, labels)
-        if last:
-            # exact rest: members outside the largest component of their key against all others of the key
-            largest = (seen.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key")
-                       .agg(F.max(F.struct("c", "label")).alias("m")).select("key", F.col("m.label").alias("main")))
-            all_ = seen.join(largest.join(mixed, "key"), "key")
-            rest = all_.where("label <> main").select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("e").alias("ex"))
-            met = rest.join(all_.withColumnRenamed("node", "y"), (rest["key"] == all_["key"]) & (F.col("lx") != F.col("label"))
-                            & ((F.col("label") == F.col("main")) | (F.col("x") < F.col("y")))
-                            & bound(F.col("nx"), F.col("ex"), F.col("n"), F.col("e")))
-        else:
-            central = seen.groupBy("key").agg(F.min(F.struct(F.col("e") / F.col("n"), "node", "label", "n", "e")).alias("c"))
-            met = (seen.join(central.join(mixed, "key"), "key").select(F.col("node").alias("x"), "label", "n", "e", "c")
-                   .where(F.col("label") != F.col("c.label")).where(bound(F.col("n"), F.col("e"), F.col("c.n"), F.col("c.e")))
-                   .select("x", F.col("c.node").alias("y")))
-        found = confirm(met.select(*pair("x", "y")).distinct())
-        if not found.isEmpty():
-            links = staged(links.union(found), "links")
-            labels = components(links)
-    return labels
+    seen, mixed = _mixed(members, labels)
+    central = seen.groupBy("key").agg(F.min(F.struct(F.col("e") / F.col("n"), "node", "label", "n", "e")).alias("c"))
+    met = (seen.join(central.join(mixed, "key"), "key").select(F.col("node").alias("x"), "label", "n", "e", "c")
+           .where(F.col("label") != F.col("c.label")).where(bound(F.col("n"), F.col("e"), F.col("c.n"), F.col("c.e")))
+           .select("x", F.col("c.node").alias("y")))
+    found = confirm(met.select(*pair("x", "y")).distinct())
+    if not found.isEmpty():
+        links = staged(links.union(found), "links")
+        labels = components(links)
+    seen, mixed = _mixed(members, labels)
+    seen = staged(seen.join(mixed, "key"), "mixed")
+    if seen.isEmpty():
+        return labels
+    found = staged(_exact_rest(seen, sets, similarity), "rest")
+    return labels if found.isEmpty() else components(staged(links.union(found), "links"))
+
+
+def _exact_rest(seen: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between members of one key that are still in different components. The largest component of a key names
+    its cluster; members outside of it are the cluster's queries, and are held against all members of the cluster in
+    blocks of about ``BLOCK_MEMBERS``, once for all keys. A task sees one block and a slice of the queries; only links
+    leave it."""
+    percent = round(similarity * 100)
+    largest = (seen.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key")
+               .agg(F.max(F.struct("c", "label")).alias("m")).select("key", F.col("m.label").alias("cluster")))
+    all_ = seen.join(largest, "key").select("cluster", "node", "label", "n", "e").distinct()
+    of = lambda c: F.ceil(c / BLOCK_MEMBERS).cast("int")
+    size = all_.groupBy("cluster").agg(of(F.count("*")).alias("blocks"), of(F.count_if(F.col("label") != F.col("cluster"))).alias("slices"))
+    sized = staged(all_.join(size.where("slices > 0"), "cluster"), "clusters")
+    columns = ["cluster", "block", "slice", "node", "label", "n", "e"]
+    # a member is in one block and meets every slice of queries; a query is in one slice and meets every block
+    own = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
+    member = (sized.withColumn("block", own("blocks")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+              .select(*columns, F.lit(False).alias("query")))
+    query = (sized.where("label <> cluster").withColumn("slice", own("slices")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select(*columns, F.lit(True).alias("query")))
+    rows = member.unionByName(query).join(sets, "node")
+
+    def run(table: pa.Table) -> pa.Table:
+        is_query = np.asarray(table.column("query").combine_chunks().cast(pa.int8())) == 1
+        node, label, n, e = (np.asarray(table.column(c).combine_chunks()) for c in ("node", "label", "n", "e"))
+        blobs = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        m = np.flatnonzero(~is_query)
+        a, b = [], []
+        if len(m) and is_query.any():
+            flat = np.concatenate([blobs[i] for i in m])
+            order = np.argsort(flat, kind="stable")
+            owner = np.repeat(np.arange(len(m)), [len(blobs[i]) for i in m])[order]
+            flat = flat[order]
+            for q in np.flatnonzero(is_query).tolist():
+                most = np.minimum(n[q] - e[q], n[m] - e[m])
+                open_ = (label[m] != label[q]) & (most * (100 + percent) >= percent * (n[q] + n[m]))
+                if not open_.any():
+                    continue
+                lo, hi = np.searchsorted(flat, blobs[q], "left"), np.searchsorted(flat, blobs[q], "right")
+                count = hi - lo
+                at = np.arange(int(count.sum())) + np.repeat(lo - (np.cumsum(count) - count), count)
+                common = np.bincount(owner[at], minlength=len(m))
+                hit = m[open_ & (100 * common >= percent * (n[q] + n[m] - common))]
+                a += np.minimum(node[hit], node[q]).tolist()
+                b += np.maximum(node[hit], node[q]).tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("cluster", "block", "slice").applyInArrow(run, "a long, b long").distinct()
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -64,6 +64,21 @@ def test_chains_and_large_groups(spark):
     check(spark, texts, 5)
 
 
+def test_exact_rest_in_blocks(spark, monkeypatch):
+    """A group around a base whose members are partly too far from the centre, in blocks of three."""
+    monkeypatch.setattr(near_dup, "BLOCK_MEMBERS", 3)
+    found = []
+    rest = near_dup._exact_rest
+    monkeypatch.setattr(near_dup, "_exact_rest", lambda *a: found.append(1) or rest(*a))
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(10_000)}" for _ in range(100)]
+    texts = [(i, edited(rng, words, rng.randrange(0, 14))) for i in range(70)]
+    far = [edited(rng, words, 14).split() for _ in range(4)]  # pairs that are alike and both far from the base
+    texts += [(100 + 2 * i + j, edited(rng, f, j)) for i, f in enumerate(far) for j in range(2)]
+    check(spark, texts, 2)
+    assert found
+
+
 def test_documents_of_all_kinds(spark):
     check(spark, odd_texts(), 2)
     check(spark, [t for t in odd_texts() if t[0] is not None], 5)
