@@ -2,14 +2,13 @@
 
 N-gram counts (orders 1 and 2) of the training documents are quantised to levels floor(log2 c); n-grams seen once are
 left to smoothing. The filter holds (n-gram, 1) .. (n-gram, level), ``PROBES`` bits each, so a count is read back by probing
-level after level until one is missing. The filter is cut into one region per counting bucket: each bucket counts
-its n-grams and fills its own region in a task. The filter has ``BITS_PER_ENTRY`` bits an entry and at most
-``MAX_FILTER_BYTES`` (what is broadcast to workers); where the entries do not fit, the lowest levels that do not
-are left out of it (a count cutoff, chosen from the level totals of the whole corpus). The log10 probability of a word after
+level after level until one is missing. The filter is cut into one region per counting bucket, of ``BITS_PER_ENTRY`` bits for
+each of its entries at every input size. No process holds the whole filter: each bucket counts its n-grams, fills its
+region in a task and reads back there what the documents ask for. The log10 probability of a word after
 another is that of LAMBDA * c(v w) / c(v) + (1 - LAMBDA) * (c(w) + 1) / (N + V + 1), with counts from the filter.
 
-Exact unigram scores need the counts of all words, which are too many to broadcast: documents are taken in chunks of
-``CHUNK`` ids; every chunk asks the counting buckets for its distinct words, once each, and gets their counts back.
+Filter and exact word counts are too large to broadcast: documents are taken in chunks of ``CHUNK`` ids; every chunk asks the
+counting buckets for its distinct n-grams and words, once each, and gets levels and counts back.
 
 Cases: null text is the end token alone; a null doc_id is never held out and its row is in a chunk of its text's hash;
 repeated rows count and score like any other; an empty table gives no rows; extra columns are ignored.
@@ -30,8 +29,11 @@ from amortia.llm.common import ship, shuffle_partitions, staged
 CHUNK = 4096
 PROBES = 4
 BITS_PER_ENTRY = 8
+#: A larger region is filled and probed in pieces of its n-grams (memory of a task; every n-gram is in one piece).
 MAX_FILTER_BYTES = 64 << 20
 LAMBDA = 0.4
+#: The least level that is entered.
+LEAST = 1
 TOP_LEVEL = 48
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
@@ -99,41 +101,86 @@ def _rows(docs: DataFrame, text: str) -> DataFrame:
 
 # ---- the filter --------------------------------------------------------------------------------
 
-def _levels(rows: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, places, levels, sizes, tokens, types): quantised counts of n-grams seen twice or more in training
-    documents, and the bucket's number of tokens and of different words."""
-    def count(batches):
+def _asked(rows: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, chunk, places, counts): the distinct n-grams of a chunk's documents (of one batch), with their number in
+    training documents."""
+    def ask(batches):
         for b in batches:
-            parts = []
-            for _, bounds, tokens in token_blocks(b.column("text")):
-                parts.append(np.concatenate(ngram_places(bounds, tokens, buckets)))
-            if not parts:
+            chunk, held = np.asarray(b.column("chunk")), np.asarray(b.column("held_out").cast(pa.int8())).astype(np.uint64)
+            parts = [[], []]
+            for first, bounds, tokens in token_blocks(b.column("text")):
+                n = np.diff(bounds)
+                doc = slice(first, first + len(n))
+                for places in ngram_places(bounds, tokens, buckets):
+                    parts[0].append(np.repeat(chunk[doc], n))
+                    parts[1].append(places << np.uint64(1) | np.repeat(held[doc], n))
+            if not parts[0]:
                 continue
-            places, counts = np.unique(np.concatenate(parts), return_counts=True)
-            bucket = (places >> np.uint64(40)).astype(np.int64)
-            low = places & LOW
-            out = [[], [], []]
-            for i, j in _cuts(bucket):
-                out[0].append(int(bucket[i]))
-                out[1].append(_to_planes(np.diff(low[i:j], prepend=np.uint64(0)), 5))
-                out[2].append(_to_planes(counts[i:j], 4))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())],
-                                             names=["bucket", "places", "counts"])
+            c, x = (np.concatenate(p) for p in parts)
+            order = np.argsort(c, kind="stable")
+            c, x = c[order], x[order]
+            out = [[], [], [], []]
+            for i, j in _cuts(c):
+                own = np.sort(x[i:j])
+                places = own >> np.uint64(1)
+                first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
+                places, counts = places[first], np.add.reduceat(np.uint64(1) - (own & np.uint64(1)), first)
+                low = places & LOW
+                for f, t in _cuts(places >> np.uint64(40)):
+                    out[0].append(int(places[f] >> np.uint64(40)))
+                    out[1].append(int(c[i]))
+                    out[2].append(_to_planes(np.diff(low[f:t], prepend=np.uint64(0)), 5))
+                    out[3].append(_to_planes(counts[f:t], 4))
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
+                                             names=["bucket", "chunk", "places", "counts"])
+
+    return rows.select("chunk", "held_out", "text").mapInArrow(ask, "bucket int, chunk long, places binary, counts binary")
+
+
+def _counted(table: pa.Table):
+    """``(places of each request, places, levels, [tokens, types])`` of a bucket; the level of n-grams that are not entered is
+    ``LEAST`` - 1."""
+    keys = [np.cumsum(_from_planes(x, 5), dtype=np.uint64) for x in table.column("places").to_pylist()]
+    k, c = _sum_sorted(keys, [_from_planes(x, 4) for x in table.column("counts").to_pylist()])
+    words = c[k & np.uint64(1) == 0]
+    level = np.minimum(np.floor(np.log2(np.maximum(c, 1))), TOP_LEVEL).astype(np.int64)
+    return keys, k, np.where(c >= 1 << LEAST, level, LEAST - 1), [int(words.sum()), int((words > 0).sum())]
+
+
+def _region_bits(level: np.ndarray) -> int:
+    return -(-max(64, int((level - LEAST + 1).sum()) * BITS_PER_ENTRY) // 8) * 8
+
+
+def _fill(bucket: int, low: np.ndarray, level: np.ndarray, bits: int) -> np.ndarray:
+    region = np.zeros(bits, bool)
+    own = np.full(len(low), bucket, np.uint64)
+    for j in range(LEAST, int(level.max(initial=LEAST - 1)) + 1):
+        hit = level >= j
+        for probe in range(PROBES):
+            region[_bit_at(own[hit], low[hit], j, probe, bits)] = True
+    return np.packbits(region)
 
-    def total(table: pa.Table) -> pa.Table:
-        keys = [np.cumsum(_from_planes(x, 5), dtype=np.uint64) for x in table.column("places").to_pylist()]
-        k, c = _sum_sorted(keys, [_from_planes(x, 4) for x in table.column("counts").to_pylist()])
-        single = k & np.uint64(1) == 0
-        sums = [int(c[single].sum()), int(single.sum())]
-        keep = c >= 2
-        k, level = k[keep], np.minimum(np.floor(np.log2(c[keep])), TOP_LEVEL).astype(np.uint8)
-        sizes = np.bincount(level, minlength=TOP_LEVEL + 1)
-        return pa.table({"bucket": table.column("bucket")[:1], "places": pa.array([_to_planes(np.diff(k, prepend=np.uint64(0)), 5)], pa.binary()),
-                         "levels": pa.array([level.tobytes()], pa.binary()), "sizes": pa.array([sizes.tolist()], pa.list_(pa.int64())),
-                         "tokens": pa.array(sums[:1], pa.int64()), "types": pa.array(sums[1:], pa.int64())})
 
-    return (rows.where("not held_out").select("text").mapInArrow(count, "bucket int, places binary, counts binary")
-            .groupBy("bucket").applyInArrow(total, "bucket int, places binary, levels binary, sizes array<long>, tokens long, types long"))
+def _ngram_levels(rows: DataFrame, buckets: int, max_bytes: int) -> DataFrame:
+    """(chunk, bucket, levels, sums): a byte for each distinct n-gram of a chunk by place, the levels read back from the
+    bucket's region of the filter (``probe_levels`` less LEAST - 1); chunk null: tokens and types of a bucket."""
+    def answer(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        keys, k, level, sums = _counted(table)
+        pieces = -(-_region_bits(level) // (8 * max_bytes))
+        read = np.zeros(len(k), np.uint8)
+        for at in np.array_split(np.arange(len(k)), pieces):
+            bits = _region_bits(level[at])
+            region = _fill(bucket, k[at], level[at], bits)
+            read[at] = probe_levels(region, bits, LEAST, np.uint64(bucket << 40) | k[at], bucket) - (LEAST - 1)
+        asked: dict[int, list[np.ndarray]] = {}
+        for chunk, places in zip(table.column("chunk").to_pylist(), keys):
+            asked.setdefault(chunk, []).append(places)
+        back = [read[np.searchsorted(k, p[0] if len(p) == 1 else np.unique(np.concatenate(p)))].tobytes() for p in asked.values()]
+        return pa.table({"chunk": pa.array([*asked, None], pa.int64()), "bucket": pa.array([bucket] * (len(asked) + 1), pa.int32()),
+                         "levels": pa.array([*back, None], pa.binary()), "sums": pa.array([None] * len(asked) + [sums], pa.list_(pa.int64()))})
+
+    return _asked(rows, buckets).groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, levels binary, sums array<long>")
 
 
 def _bit_at(bucket: np.ndarray, low: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
@@ -142,53 +189,47 @@ def _bit_at(bucket: np.ndarray, low: np.ndarray, level: int, probe: int, bits: i
     return (x + np.uint64(probe) * step) % np.uint64(bits)
 
 
-def build_filter(rows: DataFrame, buckets: int, max_bytes: int = MAX_FILTER_BYTES) -> tuple[np.ndarray, int, int, int]:
-    """``(bytes of the filter, bits of a region, least level held, tokens + types + 1)``."""
-    levels = staged(_levels(rows, buckets), "levels")
-    sizes = np.zeros(TOP_LEVEL + 1, np.int64)
-    for r in levels.select(F.posexplode("sizes").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect():  # 49 rows
-        sizes[r["level"]] = r["n"]
-    least = 1
-    entries = lambda k: int((sizes * np.maximum(np.arange(TOP_LEVEL + 1) - k + 1, 0)).sum())
-    while entries(least) * BITS_PER_ENTRY > max_bytes * 8:
-        least += 1
-    bits = max(64, -(-entries(least) * BITS_PER_ENTRY // buckets))
-    bits = -(-bits // 8) * 8
-
-    def fill(batches):
-        for b in batches:
-            for bucket, places, lv in zip(b.column("bucket").to_pylist(), b.column("places").to_pylist(), b.column("levels").to_pylist()):
-                low = np.cumsum(_from_planes(places, 5), dtype=np.uint64)
-                level = np.frombuffer(lv, np.uint8)
-                region = np.zeros(bits, bool)
-                own = np.full(len(low), bucket, np.uint64)
-                for j in range(least, int(level.max(initial=0)) + 1):
-                    hit = level >= j
-                    for probe in range(PROBES):
-                        region[_bit_at(own[hit], low[hit], j, probe, bits)] = True
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(region).tobytes()], pa.binary())],
-                                                 names=["bucket", "region"])
-
+def build_filter(rows: DataFrame, buckets: int) -> tuple[np.ndarray, int, int, int]:
+    """The whole filter in one array, for a corpus whose filter fits the driver: ``(bytes of the filter, bits of a region,
+    least level held, tokens + types + 1)``. Scoring does not use it: there each region stays in its bucket's task."""
+    def total(table: pa.Table) -> pa.Table:
+        _, k, level, sums = _counted(table)
+        k, level = k[level >= LEAST], level[level >= LEAST]
+        return pa.table({"bucket": table.column("bucket")[:1], "places": pa.array([k.tobytes()], pa.binary()),
+                         "levels": pa.array([level.astype(np.uint8).tobytes()], pa.binary()), "mass": pa.array([sum(sums)], pa.int64())})
+
+    counted = _asked(rows.where("not held_out"), buckets).groupBy("bucket").applyInArrow(total, "bucket int, places binary, levels binary, mass long").collect()
+    regions = [(r["bucket"], np.frombuffer(r["places"], np.uint64), np.frombuffer(r["levels"], np.uint8).astype(np.int64)) for r in counted]
+    bits = max((_region_bits(level) for _, _, level in regions), default=64)
     out = np.zeros((buckets, bits // 8), np.uint8)
-    for r in levels.select("bucket", "places", "levels").mapInArrow(fill, "bucket int, region binary").collect():  # at most max_bytes
-        out[r["bucket"]] = np.frombuffer(r["region"], np.uint8)
-    sums = levels.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
-    return out.ravel(), bits, least, sums["n"] + sums["v"] + 1
+    for bucket, low, level in regions:
+        out[bucket] = _fill(bucket, low, level, bits)
+    return out.ravel(), bits, LEAST, sum(r["mass"] for r in counted) + 1
 
 
-def probe_counts(table: np.ndarray, bits: int, least: int, places: np.ndarray) -> np.ndarray:
-    """Counts read back: 0 for absent n-grams, else the middle of the level's range."""
+def probe_levels(table: np.ndarray, bits: int, least: int, places: np.ndarray, first: int = 0) -> np.ndarray:
+    """Levels read back, ``least`` - 1 for absent n-grams. ``table`` starts with the region of bucket ``first``."""
     bucket, low = places >> np.uint64(40), places & LOW
-    level = np.zeros(len(places), np.int64)
+    level = np.full(len(places), least - 1, np.int64)
     on = np.arange(len(places))
     j = least
     while len(on) and j <= TOP_LEVEL:
         for probe in range(PROBES):
-            at = bucket[on] * np.uint64(bits) + _bit_at(bucket[on], low[on], j, probe, bits)
+            at = (bucket[on] - np.uint64(first)) * np.uint64(bits) + _bit_at(bucket[on], low[on], j, probe, bits)
             on = on[(table[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1]
         level[on] = j
         j += 1
-    return np.where(level > 0, np.exp2(level + 0.5), 0.0)
+    return level
+
+
+def counts_of(level: np.ndarray, least: int) -> np.ndarray:
+    """0 for absent n-grams, else the middle of the level's range."""
+    return np.where(level >= least, np.exp2(level + 0.5), 0.0)
+
+
+def probe_counts(table: np.ndarray, bits: int, least: int, places: np.ndarray) -> np.ndarray:
+    """Counts read back."""
+    return counts_of(probe_levels(table, bits, least, places), least)
 
 
 # ---- exact word counts, by chunk ---------------------------------------------------------------
@@ -238,29 +279,37 @@ def score_documents(docs: DataFrame, text: str = "text", max_filter_bytes: int =
     ship(spark)
     buckets = shuffle_partitions(spark)
     rows = _rows(docs, text)
-    filter_bytes, bits, least, mass = build_filter(rows, buckets, max_filter_bytes)
-    shared = spark.sparkContext.broadcast(filter_bytes)
+    levels = staged(_ngram_levels(rows, buckets, max_filter_bytes), "levels")
+    mass = 1 + (levels.agg(F.sum(F.col("sums")[0] + F.col("sums")[1])).first()[0] or 0)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        if right.column("words").null_count == right.num_rows and not left.num_rows:  # sums of the buckets
+        if not left.num_rows:  # sums of the buckets
             sums = sum(np.frombuffer(x, np.uint64).astype(np.int64) for x in right.column("counts").to_pylist())
             return pa.table({"doc_id": pa.nulls(1, pa.int64()), "held_out": pa.nulls(1, pa.bool_()), "n_tokens": pa.array([int(sums[0])], pa.int64()),
                              "n_known": pa.array([int(sums[1])], pa.int64()), "log_counts": pa.nulls(1, pa.float64()), "score": pa.nulls(1, pa.float64())})
-        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in right.column("words").drop_null().to_pylist()])
-        counts = np.concatenate([_from_planes(x, 5) for x in right.column("counts").to_pylist()]).astype(np.int64)
+        words = right.filter(right.column("words").is_valid())
+        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in words.column("words").to_pylist()])
+        counts = np.concatenate([_from_planes(x, 5) for x in words.column("counts").to_pylist()]).astype(np.int64)
         keys, first = np.unique(keys, return_index=True)
         counts = counts[first]
-        table = shared.value
+        blocks = [(bounds, tokens) for _, bounds, tokens in token_blocks(left.column("text").combine_chunks())]
+        places = np.unique(np.concatenate([np.unique(np.concatenate(ngram_places(*b, buckets))) for b in blocks]))
+        found = right.filter(right.column("levels").is_valid()).sort_by("bucket").column("levels").to_pylist()
+        level = np.frombuffer(b"".join(found), np.uint8)
+        if len(level) != len(places):
+            raise ValueError(f"{len(level)} levels for {len(places)} n-grams of a chunk")
+        middle = counts_of(np.arange(TOP_LEVEL + 2) + LEAST - 1, LEAST)
+        read = lambda p: middle[level[np.searchsorted(places, p)]]
         out = [[], [], [], []]
-        for _, bounds, tokens in token_blocks(left.column("text").combine_chunks()):
+        for bounds, tokens in blocks:
             c = counts[np.searchsorted(keys, tokens)]
             begin = bounds[:-1]
             one, two = ngram_places(bounds, tokens, buckets)
-            c1, c2 = (probe_counts(table, bits, least, p) for p in (one, two))
+            c1, c2 = read(one), read(two)
             history = np.empty(len(tokens))
             history[1:] = c1[:-1]
             history[begin] = 0  # the start of a text: as often as the end token
-            history[begin] = probe_counts(table, bits, least, place_of(np.array([END]), buckets, 1))[0]
+            history[begin] = read(place_of(np.array([END]), buckets, 1))[0]
             bigram = np.where(c2 > 0, c2 / np.maximum(np.maximum(history, c2), 1.0), 0.0)
             out[0] += np.diff(bounds).tolist()
             out[1] += np.add.reduceat((c > 0).astype(np.int64), begin).tolist()
@@ -269,7 +318,8 @@ def score_documents(docs: DataFrame, text: str = "text", max_filter_bytes: int =
         return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(out[0], pa.int64()),
                          "n_known": pa.array(out[1], pa.int64()), "log_counts": pa.array(out[2], pa.float64()), "score": pa.array(out[3], pa.float64())})
 
-    found = staged(rows.groupBy("chunk").cogroup(_word_counts(rows, buckets).groupBy("chunk")).applyInArrow(
+    back = _word_counts(rows, buckets).unionByName(levels.where("chunk is not null").drop("sums"), allowMissingColumns=True)
+    found = staged(rows.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(
         score, "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double"), "scores")
     sums = found.where("held_out is null").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_known"), F.lit(0)).alias("v")).first()
     floor = math.log10(sums["n"] + sums["v"] + 1)
