@@ -1,7 +1,7 @@
 """Bigram language model in a log-frequency Bloom filter.
 
-N-gram counts (orders 1 and 2) of the training documents are quantised to levels floor(log2 c); n-grams seen once are
-left to smoothing. The filter holds (n-gram, 1) .. (n-gram, level), ``PROBES`` bits each, so a count is read back by probing
+N-gram counts (orders 1 and 2) of the training documents are quantised to levels floor(log2 c), 0 for those
+seen once. The filter holds (n-gram, 0) .. (n-gram, level), ``PROBES`` bits each, so a count is read back by probing
 level after level until one is missing. The filter is cut into one region per counting bucket, of ``BITS_PER_ENTRY`` bits for
 each of its entries at every input size. No process holds the whole filter: each bucket counts its n-grams, fills its
 region in a task and reads back there what the documents ask for. The log10 probability of a word after
@@ -33,7 +33,7 @@ BITS_PER_ENTRY = 8
 MAX_FILTER_BYTES = 64 << 20
 LAMBDA = 0.4
 #: The least level that is entered.
-LEAST = 1
+LEAST = 0
 TOP_LEVEL = 48
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
@@ -93,6 +93,20 @@ def _sum_sorted(keys: list[np.ndarray], counts: list[np.ndarray]):
     return k[first], np.add.reduceat(c, first) if len(first) else c
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (by sorting: numpy's hashed ``unique`` is much slower on many different values)."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def _find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places of ``x`` in sorted ``keys``, looked up in order, which memory serves faster."""
+    order = np.argsort(x)
+    out = np.empty(len(x), np.int64)
+    out[order] = np.searchsorted(keys, x[order])
+    return out
+
+
 def _rows(docs: DataFrame, text: str) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     chunk = F.coalesce(F.floor(F.col("doc_id") / CHUNK), -1 - F.pmod(F.xxhash64(F.col(text)), F.lit(1024)))
@@ -137,24 +151,24 @@ def _asked(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.select("chunk", "held_out", "text").mapInArrow(ask, "bucket int, chunk long, places binary, counts binary")
 
 
-def _counted(table: pa.Table):
+def _counted(table: pa.Table, least: int):
     """``(places of each request, places, levels, [tokens, types])`` of a bucket; the level of n-grams that are not entered is
-    ``LEAST`` - 1."""
+    ``least`` - 1."""
     keys = [np.cumsum(_from_planes(x, 5), dtype=np.uint64) for x in table.column("places").to_pylist()]
     k, c = _sum_sorted(keys, [_from_planes(x, 4) for x in table.column("counts").to_pylist()])
     words = c[k & np.uint64(1) == 0]
     level = np.minimum(np.floor(np.log2(np.maximum(c, 1))), TOP_LEVEL).astype(np.int64)
-    return keys, k, np.where(c >= 1 << LEAST, level, LEAST - 1), [int(words.sum()), int((words > 0).sum())]
+    return keys, k, np.where(c >= 1 << least, level, least - 1), [int(words.sum()), int((words > 0).sum())]
 
 
-def _region_bits(level: np.ndarray) -> int:
-    return -(-max(64, int((level - LEAST + 1).sum()) * BITS_PER_ENTRY) // 8) * 8
+def _region_bits(level: np.ndarray, least: int) -> int:
+    return -(-max(64, int((level - least + 1).sum()) * BITS_PER_ENTRY) // 8) * 8
 
 
-def _fill(bucket: int, low: np.ndarray, level: np.ndarray, bits: int) -> np.ndarray:
+def _fill(bucket: int, low: np.ndarray, level: np.ndarray, bits: int, least: int) -> np.ndarray:
     region = np.zeros(bits, bool)
     own = np.full(len(low), bucket, np.uint64)
-    for j in range(LEAST, int(level.max(initial=LEAST - 1)) + 1):
+    for j in range(least, int(level.max(initial=least - 1)) + 1):
         hit = level >= j
         for probe in range(PROBES):
             region[_bit_at(own[hit], low[hit], j, probe, bits)] = True
@@ -166,17 +180,17 @@ def _ngram_levels(rows: DataFrame, buckets: int, max_bytes: int) -> DataFrame:
     bucket's region of the filter (``probe_levels`` less LEAST - 1); chunk null: tokens and types of a bucket."""
     def answer(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        keys, k, level, sums = _counted(table)
-        pieces = -(-_region_bits(level) // (8 * max_bytes))
+        keys, k, level, sums = _counted(table, LEAST)
+        pieces = -(-_region_bits(level, LEAST) // (8 * max_bytes))
         read = np.zeros(len(k), np.uint8)
         for at in np.array_split(np.arange(len(k)), pieces):
-            bits = _region_bits(level[at])
-            region = _fill(bucket, k[at], level[at], bits)
+            bits = _region_bits(level[at], LEAST)
+            region = _fill(bucket, k[at], level[at], bits, LEAST)
             read[at] = probe_levels(region, bits, LEAST, np.uint64(bucket << 40) | k[at], bucket) - (LEAST - 1)
         asked: dict[int, list[np.ndarray]] = {}
         for chunk, places in zip(table.column("chunk").to_pylist(), keys):
             asked.setdefault(chunk, []).append(places)
-        back = [read[np.searchsorted(k, p[0] if len(p) == 1 else np.unique(np.concatenate(p)))].tobytes() for p in asked.values()]
+        back = [read[np.searchsorted(k, p[0] if len(p) == 1 else _distinct(np.concatenate(p)))].tobytes() for p in asked.values()]
         return pa.table({"chunk": pa.array([*asked, None], pa.int64()), "bucket": pa.array([bucket] * (len(asked) + 1), pa.int32()),
                          "levels": pa.array([*back, None], pa.binary()), "sums": pa.array([None] * len(asked) + [sums], pa.list_(pa.int64()))})
 
@@ -189,22 +203,23 @@ def _bit_at(bucket: np.ndarray, low: np.ndarray, level: int, probe: int, bits: i
     return (x + np.uint64(probe) * step) % np.uint64(bits)
 
 
-def build_filter(rows: DataFrame, buckets: int) -> tuple[np.ndarray, int, int, int]:
+def build_filter(rows: DataFrame, buckets: int, least: int = 1) -> tuple[np.ndarray, int, int, int]:
     """The whole filter in one array, for a corpus whose filter fits the driver: ``(bytes of the filter, bits of a region,
-    least level held, tokens + types + 1)``. Scoring does not use it: there each region stays in its bucket's task."""
+    least level held, tokens + types + 1)``. Scoring does not use it: there each region stays in its bucket's task,
+    and n-grams seen once (level 0) are entered, which a ``least`` of 1 leaves out."""
     def total(table: pa.Table) -> pa.Table:
-        _, k, level, sums = _counted(table)
-        k, level = k[level >= LEAST], level[level >= LEAST]
+        _, k, level, sums = _counted(table, least)
+        k, level = k[level >= least], level[level >= least]
         return pa.table({"bucket": table.column("bucket")[:1], "places": pa.array([k.tobytes()], pa.binary()),
                          "levels": pa.array([level.astype(np.uint8).tobytes()], pa.binary()), "mass": pa.array([sum(sums)], pa.int64())})
 
     counted = _asked(rows.where("not held_out"), buckets).groupBy("bucket").applyInArrow(total, "bucket int, places binary, levels binary, mass long").collect()
     regions = [(r["bucket"], np.frombuffer(r["places"], np.uint64), np.frombuffer(r["levels"], np.uint8).astype(np.int64)) for r in counted]
-    bits = max((_region_bits(level) for _, _, level in regions), default=64)
+    bits = max((_region_bits(level, least) for _, _, level in regions), default=64)
     out = np.zeros((buckets, bits // 8), np.uint8)
     for bucket, low, level in regions:
-        out[bucket] = _fill(bucket, low, level, bits)
-    return out.ravel(), bits, LEAST, sum(r["mass"] for r in counted) + 1
+        out[bucket] = _fill(bucket, low, level, bits, least)
+    return out.ravel(), bits, least, sum(r["mass"] for r in counted) + 1
 
 
 def probe_levels(table: np.ndarray, bits: int, least: int, places: np.ndarray, first: int = 0) -> np.ndarray:
@@ -223,8 +238,8 @@ def probe_levels(table: np.ndarray, bits: int, least: int, places: np.ndarray, f
 
 
 def counts_of(level: np.ndarray, least: int) -> np.ndarray:
-    """0 for absent n-grams, else the middle of the level's range."""
-    return np.where(level >= least, np.exp2(level + 0.5), 0.0)
+    """0 for absent n-grams, 1 at level 0, else the middle of the level's range."""
+    return np.where(level >= least, np.where(level > 0, np.exp2(level + 0.5), 1.0), 0.0)
 
 
 def probe_counts(table: np.ndarray, bits: int, least: int, places: np.ndarray) -> np.ndarray:
@@ -293,16 +308,16 @@ def score_documents(docs: DataFrame, text: str = "text", max_filter_bytes: int =
         keys, first = np.unique(keys, return_index=True)
         counts = counts[first]
         blocks = [(bounds, tokens) for _, bounds, tokens in token_blocks(left.column("text").combine_chunks())]
-        places = np.unique(np.concatenate([np.unique(np.concatenate(ngram_places(*b, buckets))) for b in blocks]))
+        places = _distinct(np.concatenate([_distinct(np.concatenate(ngram_places(*b, buckets))) for b in blocks]))
         found = right.filter(right.column("levels").is_valid()).sort_by("bucket").column("levels").to_pylist()
         level = np.frombuffer(b"".join(found), np.uint8)
         if len(level) != len(places):
             raise ValueError(f"{len(level)} levels for {len(places)} n-grams of a chunk")
         middle = counts_of(np.arange(TOP_LEVEL + 2) + LEAST - 1, LEAST)
-        read = lambda p: middle[level[np.searchsorted(places, p)]]
+        read = lambda p: middle[level[_find(places, p)]]
         out = [[], [], [], []]
         for bounds, tokens in blocks:
-            c = counts[np.searchsorted(keys, tokens)]
+            c = counts[_find(keys, tokens)]
             begin = bounds[:-1]
             one, two = ngram_places(bounds, tokens, buckets)
             c1, c2 = read(one), read(two)

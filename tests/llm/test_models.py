@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from amortia.llm import bloom_lm, langid
 
@@ -105,3 +106,19 @@ def test_small_filter_pieces_lose_no_level(spark):
     small = {r.doc_id: r.score for r in bloom_lm.score_documents(documents(spark, texts), max_filter_bytes=64).collect()}
     # every n-gram is frequent: with levels left out its count would be read as 0 and the score fall to smoothing
     assert all(abs(whole[i] - small[i]) < 0.05 * abs(whole[i]) for i in whole)
+
+
+def test_ngrams_seen_once_are_known(spark):
+    # two held-out texts of words that training holds once each or never
+    held_ids = [i for i in range(2000) if held(i, 7)][:2]
+    free = [i for i in range(2000) if not held(i, 7)][:60]
+    once = " ".join(f"solo{j}" for j in range(40))
+    texts = [(free[0], once), (held_ids[0], once), (held_ids[1], " ".join(f"never{j}" for j in range(40)))]
+    texts += [(i, " ".join(f"pad{i}x{j}" for j in range(40))) for i in free[1:]]
+    got = {r.doc_id: r.score for r in bloom_lm.score_documents(documents(spark, texts)).collect()}
+    assert got[held_ids[0]] > got[held_ids[1]] + 40
+    rows = bloom_lm._rows(documents(spark, texts), "text")
+    table, bits, least, _ = bloom_lm.build_filter(rows, 4, bloom_lm.LEAST)
+    places = bloom_lm.place_of(np.concatenate([t for _, _, t in bloom_lm.token_blocks(pa.array([once]))])[:-1], 4, 1)
+    counts = bloom_lm.probe_counts(table, bits, least, places)
+    assert (counts >= 1).all() and np.median(counts) == 1
