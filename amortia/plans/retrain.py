@@ -55,7 +55,7 @@ def _metric_struct(m_rows: dict, name: str):
 
 
 def retrain(spark: SparkSession, joined: DataFrame, out_root: str, n_trials: int = 20, fair_rounds: int = 50,
-            max_iter: int = 20, model_name: str = "gbt_equalized_odds", admin_id: int = 0,
+            max_iter: int = 100, model_name: str = "gbt_equalized_odds", admin_id: int = 0,
             thresholds: dict | None = None, source: str = "table") -> RetrainResult:
     """Retrain on joined loan-months. A run that raises is closed as failed, with the error, in the ledger."""
     ledger_root = f"{out_root.rstrip('/')}/ledger"
