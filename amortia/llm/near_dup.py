@@ -39,6 +39,8 @@ SYMBOLS = CHUNKS * WIDTH
 #: Signatures further apart are not compared in full: at similarity 0.8 the distance has mean 22.4 and
 #: standard deviation 4.2, so 48 is passed over with probability below 1e-8.
 FAR = 48
+#: The least similarity that chunks, errors and FAR are made for: below it true links would be missed.
+LEAST_SIMILARITY = 0.8
 #: Members of a cluster that one task holds in the exact step.
 BLOCK_MEMBERS = 512
 
@@ -183,6 +185,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int, text: str) -> DataFrame
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
     """One row per input row: doc_id, text_key, n_shingles, component_id (smallest doc_id reachable over links
     of at least ``similarity``, itself included), set class, kept (doc_id = component_id)."""
+    if similarity < LEAST_SIMILARITY:
+        raise ValueError(f"similarity {similarity} is below {LEAST_SIMILARITY}, for which the signatures are made")
     rows = staged(signatures(docs, k, text), "signatures")
     classes = (rows.where("n_shingles > 0").groupBy("set_lo", "set_hi")
                .agg(F.min_by(F.struct("doc_id", "text_key", "sig"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("r"),

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from amortia.llm import near_dup
 from amortia.llm.components import components
@@ -133,3 +134,10 @@ def test_components_of_a_long_path(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(n)} | {100: 100, 101: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_similarity_that_signatures_cannot_hold_is_refused(spark):
+    docs = documents(spark, odd_texts())
+    for run in (near_dup.near_duplicates, near_dup.drop_near_duplicates):
+        with pytest.raises(ValueError, match="0.5 is below 0.8"):
+            run(docs, similarity=0.5)
