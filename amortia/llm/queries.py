@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amortia.llm import chat, decontam, line_templates, quality
+from amortia.llm import chat, decontam, filter_audit, line_templates, quality, spelling
 from amortia.llm.common import table
 from amortia.session import work_path
 
 VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 _QUERIES: dict = {}
 _ORACLES: dict[str, str] = {}
 
@@ -100,6 +101,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(spark, path)
 
 
+@register("op11_two_tier_token_counts")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from amortia.llm import token_counts
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path(PIECES))
+
+
+@register("op12_filter_interaction_audit", filter_audit.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op13_permuterm_spelling", spelling.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
