@@ -79,11 +79,12 @@ def _run(spark, joined, out_root, n_trials, fair_rounds, max_iter, model_name, t
     rows, mean = features.prepare_training_with_mean(joined)
     prep, state_rows, bounds_rows, feat_cols, train, val, test = _design(spark, rows)
 
-    trials = learning.parameter_search(train, val, feat_cols, n_trials, max_iter)
+    run_root = f"{out_root.rstrip('/')}/runs/{version}"
+    trials = learning.parameter_search(train, val, feat_cols, n_trials, max_iter, store=f"{run_root}/study")
     best = trials.filter("is_best").first()
     trial = learning.Trial(best["trial"], best["boosting_type"], best["learning_rate"], best["max_depth"],
                            best["bagging_freq"], best["bagging_fraction"])
-    fit = learning.fair_fit(train, feat_cols, trial, fair_rounds, max_iter=max_iter)
+    fit = learning.fair_fit(train, feat_cols, trial, fair_rounds, max_iter=max_iter, store=f"{run_root}/rounds")
 
     # Predict once with the mixture; every metric below reuses these predictions.
     allrows = train.withColumn("split", F.lit("train")).unionByName(val).unionByName(test)
