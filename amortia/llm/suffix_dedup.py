@@ -318,7 +318,8 @@ def _anchor_stage(rows: DataFrame, span: int, group_limit: int) -> DataFrame:
         keep = np.flatnonzero(~later)
         # in the order of places, so that documents and places compress
         keep = keep[np.lexsort((rec["lo"][keep], rec["doc"][keep]))]
-        to = ((rec["a"][keep] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        # an anchor is the least hash of its window, so its own high bits are mostly zero
+        to = ((mix(rec["a"][keep]) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         keep, to = keep[order], to[order]
         cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
