@@ -6,10 +6,11 @@ Scale notes
 * Pearson: each task folds its rows into pairwise-complete counts and centred sums with
   matrix products (X'X, X'M, ...) and ships p x p partial rows; a grouped sum combines
   them. Centring on the column means keeps the sums well conditioned.
-* Cramér's V: the table is first collapsed to its distinct category combinations with
-  counts (partial aggregate), then each combination is expanded to its fixed number of
-  column pairs and re-aggregated to contingency cells. Cells, margins and per-pair sums
-  are all small grouped aggregates; no zero cell is ever materialised:
+* Cramér's V: each task folds its rows into the contingency cells of all column pairs (products
+  of one-hot blocks, counted from level numbers), and a grouped sum combines the cells. So the
+  shuffle has category-pair size, also with many columns, whose combinations would grow to the
+  row count. Cells, margins and per-pair sums are all small grouped aggregates; no zero cell is
+  ever materialised:
   chi2 = sum_obs (O-E)^2/E + (n - sum_obs E), and for 2x2 tables with Yates' correction
   every cell has the same |O-E|, so chi2 = max(|O-E| - 0.5, 0)^2 * n * sum(1/r_i) * sum(1/c_j).
 """
@@ -95,36 +96,83 @@ def prune_walk(matrix: DataFrame, value: str, cutoff: float = 0.7) -> DataFrame:
               .withColumnRenamed("col_a", "column_name")
 
 
-def _filled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("NULL")).alias(c) for c in columns])
+MAX_CELLS = 500_000  # cells that a task holds before it hands them on
 
 
-def category_combos(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Distinct combinations of the categorical columns with their row counts (nulls kept
-    as null). A partial aggregate: the table collapses to its combinations in the scan stage."""
-    return df.groupBy(*[F.col(c).cast("string").alias(c) for c in columns]).agg(F.count(F.lit(1)).alias("cnt"))
+def _pair_partials(columns: list[str], max_cells: int):
+    """Per task: cells of all column pairs (and of each column with itself) as products of the columns' one-hot blocks.
+    The product of two one-hot blocks has one entry per pair of levels that meet; it is counted from level numbers."""
+    import numpy as np
+    import pyarrow as pa
+
+    p = len(columns)
 
+    def handed(cells):
+        rows = [(i, j, x, y, n) for (i, j), found in cells.items() for (x, y), n in found.items()]
+        cols = list(zip(*rows)) if rows else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64()))],
+                                          names=["i", "j", "x", "y", "o"])
+
+    def fn(batches):
+        cells, held = {}, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            coded = [b.column(k).dictionary_encode(null_encoding="encode") for k in range(p)]
+            levels = [c.dictionary.to_pylist() for c in coded]
+            codes = [c.indices.to_numpy(zero_copy_only=False).astype(np.int64) for c in coded]
+            for i in range(p):
+                for j in range(i, p):
+                    width = len(levels[j])
+                    found, n = np.unique(codes[i] * width + codes[j], return_counts=True)
+                    into = cells.setdefault((i, j), {})
+                    held -= len(into)
+                    for at, k in zip(found.tolist(), n.tolist()):
+                        key = (levels[i][at // width], levels[j][at % width])
+                        into[key] = into.get(key, 0) + k
+                    held += len(into)
+            if held > max_cells:
+                yield handed(cells)
+                cells, held = {}, 0
+        yield handed(cells)
+    return fn
 
-def multi_level_columns(df: DataFrame, columns: Sequence[str], combos: DataFrame | None = None) -> list[str]:
-    """Columns with more than one distinct non-null value (schema-sized list to the driver).
-    Computed from the combinations table when one is given."""
-    src = combos if combos is not None else df
-    row = src.agg(*[F.countDistinct(F.col(c)).alias(c) for c in columns]).first()
-    return [c for c in columns if row[c] > 1]
+
+def pair_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(i, j, x, y, o): rows per pair of levels of every column pair i <= j, nulls kept as null. Tasks fold their rows into
+    cells, so the shuffle carries cells (category-pair size), whatever the number of columns and of their combinations."""
+    cols = list(columns)
+    text = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
+    parts = text.mapInArrow(_pair_partials(cols, MAX_CELLS), "i int, j int, x string, y string, o long")
+    return parts.groupBy("i", "j", "x", "y").agg(F.sum("o").alias("o"))
+
+
+def multi_level_columns(df: DataFrame, columns: Sequence[str], counts: DataFrame | None = None) -> list[str]:
+    """Columns with more than one distinct non-null value (schema-sized list to the driver), from the written pair
+    counts when they are given."""
+    cols = list(columns)
+    if counts is None:
+        row = df.agg(*[F.countDistinct(F.col(c)).alias(c) for c in cols]).first()
+        return [c for c in cols if row[c] > 1]
+    many = counts.filter((F.col("i") == F.col("j")) & F.col("x").isNotNull()).groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    return [cols[i] for i in sorted(r["i"] for r in many.filter("n > 1").collect())]
 
 
-def contingency_cells(df: DataFrame, columns: Sequence[str], combos: DataFrame | None = None) -> DataFrame:
-    """Counts per (pair, x, y) for every column pair i < j; nulls read as 'NULL'."""
+def contingency_cells(df: DataFrame, columns: Sequence[str], counts: DataFrame | None = None,
+                      counted: Sequence[str] | None = None) -> DataFrame:
+    """Counts per (pair, x, y) for every column pair i < j; nulls read as 'NULL'. ``counts``: pair counts of the columns
+    ``counted``, if there are any already."""
     cols = list(columns)
-    if combos is None:
-        combos = category_combos(df, cols)
-    filled = combos.groupBy(*[F.coalesce(F.col(c), F.lit("NULL")).alias(c) for c in cols]).agg(
-        F.sum("cnt").alias("cnt"))
-    pairs = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                      F.col(a).alias("x"), F.col(b).alias("y"))
-             for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
-    exploded = filled.select(F.explode(F.array(*pairs)).alias("p"), "cnt").select("p.*", "cnt")
-    return exploded.groupBy("i", "j", "col_a", "col_b", "x", "y").agg(F.sum("cnt").alias("o"))
+    counted = list(counted or cols)
+    counts = pair_counts(df, counted) if counts is None else counts
+    # one row per column, fixed by the schema
+    place = F.create_map(*[F.lit(x) for c in cols for x in (counted.index(c), cols.index(c))]) if cols else F.create_map()
+    name = F.array(*[F.lit(c) for c in cols])
+    null = lambda c: F.coalesce(F.col(c), F.lit("NULL"))
+    cells = counts.filter(F.col("i") < F.col("j")).select(place[F.col("i")].alias("i"), place[F.col("j")].alias("j"), null("x").alias("x"),
+                                                          null("y").alias("y"), "o").filter("i is not null and j is not null")
+    return cells.groupBy("i", "j", "x", "y").agg(F.sum("o").alias("o")).select(
+        "i", "j", name[F.col("i")].alias("col_a"), name[F.col("j")].alias("col_b"), "x", "y", "o")
 
 
 def crosstab_long(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -168,11 +216,13 @@ def cramers_v(chi: DataFrame) -> DataFrame:
 def cramers_v_long(df: DataFrame, columns: Sequence[str], decimals: int = 6) -> DataFrame:
     """Cramér's V matrix in long form over the columns with more than one level: diagonal 1,
     mirrored halves, null -> 0. Columns: (col_a, col_b, v, pos_a, pos_b)."""
-    # The table is scanned once: its category combinations are written to the shared folder
-    # and both the level check and the contingency cells read that (much smaller) table.
-    combos = durable(category_combos(df, list(columns)))
-    cols = multi_level_columns(df, columns, combos)
-    v = cramers_v(chi_square(contingency_cells(df, cols, combos))).select("i", "j", "col_a", "col_b", "v")
+    # The table is scanned once: its pair counts are written to the shared folder, and both the level check and the
+    # contingency cells read them.
+    counts = durable(pair_counts(df, columns))
+    cols = multi_level_columns(df, columns, counts)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, v double, pos_a int, pos_b int")
+    v = cramers_v(chi_square(contingency_cells(df, cols, counts, columns))).select("i", "j", "col_a", "col_b", "v")
     upper = v.select(F.col("i").alias("pos_a"), F.col("j").alias("pos_b"), "col_a", "col_b", "v")
     lower = v.select(F.col("j").alias("pos_a"), F.col("i").alias("pos_b"),
                      F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "v")

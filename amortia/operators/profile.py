@@ -80,9 +80,9 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return out
 
 
-def coverage_profile(df: DataFrame, threshold: float | None = 0.7, exact_distinct: bool = True) -> DataFrame:
-    """Per column: type, non-null rows, total rows, coverage ratio, distinct non-null values.
-    Rows below ``threshold`` are dropped (``None`` keeps all). Sorted by coverage desc.
+def coverage_profile(df: DataFrame, threshold: float | None = 0.7, exact_distinct: bool = True, row_id: str | None = None) -> DataFrame:
+    """Per column: type, non-null rows, total rows, coverage ratio, distinct non-null values, and with ``row_id`` five
+    ``samples`` (``row_samples``). Rows below ``threshold`` are dropped (``None`` keeps all). Sorted by coverage desc.
     ``exact_distinct=False`` uses HyperLogLog sketches instead of exact distinct counts."""
     cols = df.columns
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -105,6 +105,9 @@ def coverage_profile(df: DataFrame, threshold: float | None = 0.7, exact_distinc
                         "num_unique_values"))
     if threshold is not None:
         out = out.filter(F.col("coverage_ratio") >= threshold)
+    if row_id is not None:  # one row per column
+        out = (out.join(F.broadcast(row_samples(df, row_id)), "column_name", "left")
+                  .withColumn("samples", F.coalesce("samples", F.array().cast("array<string>"))))
     return out.orderBy(F.desc("coverage_ratio"), "column_name")
 
 
@@ -348,5 +351,38 @@ def column_samples(df: DataFrame, columns: Sequence[str], row_id: str, n: int =
             .select("column_name", "rank", "value"))
 
 
+def _smallest_rows(columns: list[str], n: int):
+    """Per task: for every column the ``n`` non-null values of the rows of smallest hash (closure over pyarrow only)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def fn(batches):
+        kept = {c: [] for c in columns}
+        for b in batches:
+            order = pc.sort_indices(b.column("__h"))
+            for c in columns:
+                values, hashes = b.column(c).take(order), b.column("__h").take(order)
+                first = pc.indices_nonzero(pc.is_valid(values)).slice(0, n)
+                found = zip(hashes.take(first).to_pylist(), values.take(first).to_pylist())
+                kept[c] = sorted([*kept[c], *found])[:n]
+        rows = [(c, h, v) for c, found in kept.items() for h, v in found]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["column_name", "h", "value"])
+    return fn
+
+
+def row_samples(df: DataFrame, row_id: str, n: int = 5, seed: int = 42, columns: Sequence[str] | None = None) -> DataFrame:
+    """(column_name, samples): per column the values of the ``n`` rows of smallest md5(seed | row id) among those where it is
+    not null, in that order, as text (doubles with six decimals). One scan and one hash a row for all columns; a task
+    hands on at most ``n`` values per column, whatever its rows."""
+    cols = list(columns or df.columns)
+    kinds = dict(df.dtypes)
+    text = [F.format_string("%.6f", F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.col(c).cast("string").alias(c) for c in cols]
+    text = [F.when(F.col(c).isNotNull(), t).alias(c) for c, t in zip(cols, text)]
+    h = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(row_id).cast("string"), F.lit(""))))
+    small = df.select(h.alias("__h"), *text).mapInArrow(_smallest_rows(cols, n), "column_name string, h string, value string")
+    top = top_k_per_group(small, ["column_name"], [F.col("h"), F.col("value")], n)
+    return top.groupBy("column_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("samples"))
+
+
 def group_mean(df: DataFrame, keys: Iterable[str], value: str, alias: str | None = None) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(value).alias(alias or f"mean_{value}"))

@@ -46,6 +46,19 @@ def coverage_profile(spark, sf_dir):
     return profile.coverage_profile(joined(spark, sf_dir), 0.7)
 
 
+def _sample_rows() -> str:
+    return _union([f"""SELECT '{c}' AS column_name, list(v ORDER BY h, v) AS samples FROM (SELECT {f"printf('%.6f', {c})" if t == 'double' else f'CAST({c} AS VARCHAR)'} AS v,
+        md5('42|' || coalesce(row_key, '')) AS h FROM joined WHERE {c} IS NOT NULL ORDER BY h, v LIMIT 5) s""" for c, t in JOINED_TYPES])
+
+
+@register("coverage_samples", with_views(PO, JOINED_CTE, f"""
+SELECT c.*, array_to_string(s.samples, '|') AS samples FROM ({_coverage_rows()}) c JOIN ({_sample_rows()}) s USING (column_name) WHERE coverage_ratio >= 0.7"""))
+def coverage_samples(spark, sf_dir):
+    """The whole profile: coverage, distinct values and five samples of every column."""
+    out = profile.coverage_profile(joined(spark, sf_dir), 0.7, row_id="row_key")
+    return out.withColumn("samples", F.array_join("samples", "|"))
+
+
 @register("coverage_prune", with_views(PO, JOINED_CTE, f"""
 SELECT column_name, coverage_ratio, coverage_ratio >= 0.7 AS kept FROM ({_coverage_rows()}) t"""))
 def coverage_prune(spark, sf_dir):
