@@ -170,3 +170,8 @@ def eligibility_message(prediction) -> Column:
 
 def pass_fail(flag) -> Column:
     return F.when(_c(flag), F.lit("PASS")).otherwise(F.lit("FAIL"))
+
+
+def postal_text(col: str) -> Column:
+    """A postal code that was read as a number, as a category: its whole number as text."""
+    return F.col(col).cast("bigint").cast("string")

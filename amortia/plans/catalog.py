@@ -80,4 +80,4 @@ def oracle_sql() -> dict[str, str]:
 def _load_all() -> None:
     # Importing the modules registers their queries.
     from amortia.plans import (q_core, q_profile, q_association, q_applicant,  # noqa: F401
-                               q_features, q_metrics, q_ledger, q_learning, q_sources)
+                               q_features, q_metrics, q_ledger, q_learning, q_sources, q_extract)

@@ -55,6 +55,25 @@ SOURCE_NAMES = {v: k for k, v in RENAMES.items()}
 ORIGINATION_KEYWORD = "historical_data"
 PERFORMANCE_KEYWORD = "historical_data_time"
 
+# The extraction's columns of high coverage (39), and those left after pruning correlated ones (32).
+EXTRACT_COLUMNS = [
+    "loan_sequence_num", "monthly_reporting_period", "cur_actual_UPB", "cur_LDS", "loan_age",
+    "remaining_mths_to_legal_maturity", "cur_int_rate", "cur_deferred_UPB", "ELTV", "int_bearing_UPB",
+    "credit_score", "first_payment_date", "first_time_homebuyer", "maturity_date", "mi_pct", "num_of_units",
+    "occupancy_status", "ori_CLTV", "ori_DTI", "ori_UPB", "ori_LTV", "ori_int_rate", "channel", "PPM_flag",
+    "amorisation_type", "property_state", "property_type", "postal_code", "loan_purpose", "ori_loan_term",
+    "num_borrowers", "seller_name", "servicer_name", "program_indicator", "property_valuation_method",
+    "io_indicator", "MICI", "MSA", "quarter",
+]
+EXTRACT_COLUMNS_PRUNED = [
+    "loan_sequence_num", "monthly_reporting_period", "cur_actual_UPB", "cur_LDS",
+    "remaining_mths_to_legal_maturity", "cur_int_rate", "cur_deferred_UPB", "ELTV", "credit_score",
+    "first_payment_date", "first_time_homebuyer", "mi_pct", "num_of_units", "occupancy_status", "ori_DTI",
+    "channel", "PPM_flag", "amorisation_type", "property_state", "property_type", "postal_code",
+    "loan_purpose", "num_borrowers", "seller_name", "program_indicator", "property_valuation_method",
+    "io_indicator", "MICI", "MSA", "loan_age", "ori_UPB", "quarter",
+]
+
 # Feature lists (in our names).
 FEATURES_SCORING = [
     "loan_sequence_num", "cur_actual_UPB", "cur_int_rate", "cur_deferred_UPB",

@@ -56,6 +56,32 @@ SELECT CASE WHEN o_orderkey % 97 = 0 THEN concat('x', o_orderkey) ELSE CAST(o_or
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey
 """
 
+# The joined loan-months as the extraction notebook has them: all columns of high coverage, and three that are mostly empty.
+EXTRACT_SQL = """
+SELECT j.*,
+       360 - loan_age AS remaining_mths_to_legal_maturity,
+       cur_actual_UPB - cur_deferred_UPB AS int_bearing_UPB,
+       CAST(201501 + CAST(credit_score AS BIGINT) % 12 AS INT) AS first_payment_date,
+       CAST(204501 + CAST(credit_score AS BIGINT) % 12 AS INT) AS maturity_date,
+       40 + CAST(CAST(credit_score AS BIGINT) * 3 % 50 AS DOUBLE) AS ori_CLTV,
+       38 + CAST(CAST(credit_score AS BIGINT) * 3 % 50 AS DOUBLE) + mi_pct / 100 AS ori_LTV,
+       cur_int_rate + CAST(loan_age AS DOUBLE) / 1000 AS ori_int_rate,
+       CASE WHEN ori_DTI > 60 THEN 'Y' ELSE 'N' END AS PPM_flag,
+       'FRM' AS amorisation_type,
+       CAST(10000 + CAST(floor(ori_UPB) AS BIGINT) % 300 * 100 AS DOUBLE) AS postal_code,
+       CAST(120 + CAST(ori_DTI AS BIGINT) % 3 * 120 AS DOUBLE) AS ori_loan_term,
+       'seller ' || CAST(CAST(ori_DTI AS BIGINT) % 7 AS VARCHAR(4)) AS seller_name,
+       'servicer ' || CAST(CAST(mi_pct AS BIGINT) % 5 AS VARCHAR(4)) AS servicer_name,
+       CASE WHEN CAST(floor(ori_UPB) AS BIGINT) % 10 = 0 THEN 'H' ELSE '9' END AS program_indicator,
+       CASE WHEN CAST(floor(ori_UPB) AS BIGINT) % 11 = 0 THEN 'Y' ELSE 'N' END AS io_indicator,
+       CASE WHEN CAST(floor(ori_UPB) AS BIGINT) % 5 < 3 THEN '7' ELSE 'Y' END AS MICI,
+       CASE WHEN CAST(floor(ori_UPB) AS BIGINT) % 9 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST(10180 + CAST(floor(ori_UPB) AS BIGINT) % 40 AS DOUBLE) END AS MSA,
+       CASE WHEN CAST(loan_age AS BIGINT) % 10 = 0 THEN CAST(1 AS DOUBLE) END AS zero_bal_code,
+       CASE WHEN CAST(loan_age AS BIGINT) % 5 = 0 THEN cur_deferred_UPB END AS MI_recover,
+       CASE WHEN CAST(loan_age AS BIGINT) % 2 = 0 THEN 'Y' END AS super_conforming_flag
+FROM (SELECT * FROM {performance} LEFT JOIN {origination} USING (loan_sequence_num, quarter)) j
+"""
+
 SCORED_SQL = """
 SELECT p.row_key, target, score, score >= 0.5 AS prediction, region,
        CASE WHEN bucket < 6 THEN 'train' WHEN bucket < 8 THEN 'val' ELSE 'test' END AS split
@@ -110,6 +136,7 @@ FROM {events}
 VIEWS = {
     "performance": (PERFORMANCE_SQL, ["lineitem"]),
     "origination": (ORIGINATION_SQL, ["orders", "customer"]),
+    "extract": (EXTRACT_SQL, ["performance", "origination"]),
     "scored": (SCORED_SQL, ["performance", "origination"]),
     "applicant": (APPLICANT_SQL, ["orders"]),
     "credit_form": (CREDIT_FORM_SQL, ["customer"]),
