@@ -13,7 +13,7 @@ from amortia.operators import clean, features
 from amortia.plans.catalog import JOINED_CTE, register, standin, with_views
 from amortia.plans.q_features import PREPARED_CTES, SPLIT_SQL, prepared
 from amortia.schemas import PERFORMANCE_COLUMNS, PERFORMANCE_KEYWORD, PERFORMANCE_SCHEMA
-from amortia.sources import archives, sinks, text_drops
+from amortia.sources import archives, bucketed, sinks, text_drops
 
 PO = ["performance", "origination"]
 
@@ -37,6 +37,32 @@ def path_quarter(spark, sf_dir):
                                     F.round(F.sum("cur_actual_UPB"), 2).alias("total_balance"))
 
 
+def _loan_tables(spark, sf_dir):
+    s = standin(spark, sf_dir)
+    return bucketed.LoanTables.write(s.performance, s.origination, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+@register("bucketed_join", with_views(PO, JOINED_CTE, """
+SELECT quarter, count(*) AS n_rows, count(DISTINCT loan_sequence_num) AS n_loans,
+       count(credit_score) AS n_matched, round(sum(cur_actual_UPB), 2) AS total_balance
+FROM joined GROUP BY quarter"""))
+def bucketed_join(spark, sf_dir):
+    """Both tables written in buckets of (loan, quarter), joined bucket by bucket without a shuffle, summarised per quarter."""
+    j = _loan_tables(spark, sf_dir).joined()
+    return j.groupBy("quarter").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("loan_sequence_num").alias("n_loans"),
+                                    F.count("credit_score").alias("n_matched"), F.round(F.sum("cur_actual_UPB"), 2).alias("total_balance"))
+
+
+@register("bucketed_first_months", with_views(PO, JOINED_CTE, """
+SELECT loan_sequence_num, quarter, monthly_reporting_period, row_key, credit_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY loan_sequence_num, quarter ORDER BY monthly_reporting_period NULLS FIRST, row_key NULLS FIRST) AS rn
+  FROM joined) t WHERE rn = 1"""))
+def bucketed_first_months(spark, sf_dir):
+    """Keep-first per loan and quarter on the bucketed tables: no shuffle between scan and result."""
+    firsts = _loan_tables(spark, sf_dir).first_months(["monthly_reporting_period", "row_key"])
+    return firsts.select("loan_sequence_num", "quarter", "monthly_reporting_period", "row_key", "credit_score")
+
+
 @register("zip_ingest", with_views(["performance"], "", """
 SELECT quarter, count(*) AS n_rows, count(DISTINCT loan_sequence_num) AS n_loans,
        round(sum(cur_actual_UPB), 2) AS total_balance
