@@ -265,16 +265,17 @@ def box_stats(df: DataFrame, value: str, groups: Sequence[str], exact: bool = Tr
         *groups, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     lo, hi = F.col("q1") - 1.5 * F.col("iqr"), F.col("q3") + 1.5 * F.col("iqr")
-    rows = df.filter(F.col(value).isNotNull()).select(*groups, value)
+    # Rows collapse to (group, value, count) in the scan stage, so values and not rows meet the quartiles.
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("__c"))
     # Group stats have one row per group; null group keys must match as in pandas groupby
     # they are dropped, so an equi join is right.
-    j = rows.join(q, groups)
+    j = counts.join(q, groups)
     inside = F.col(value).between(lo, hi)
     return j.groupBy(*groups, "q1", "median", "q3", "iqr").agg(
-        F.count(F.lit(1)).alias("n"),
+        F.sum("__c").alias("n"),
         F.min(F.when(inside, F.col(value))).alias("whisker_low"),
         F.max(F.when(inside, F.col(value))).alias("whisker_high"),
-        F.count(F.when(~inside, 1)).alias("n_outliers"))
+        F.sum(F.when(inside, F.lit(0)).otherwise(F.col("__c"))).alias("n_outliers"))
 
 
 def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 30) -> DataFrame:
