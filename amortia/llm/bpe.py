@@ -291,29 +291,30 @@ def _encode(docs: DataFrame, vocabulary: str, text: str, keep: list[str], own: l
     def run(batches):
         table = load(vocabulary)
         for b in batches:
-            texts = b.column("__text")
-            cols = {c: [] for c in own}
-            id_parts, bounds_all = [], [np.zeros(1, np.int64)]
-            for _, ids, bounds in tokenised_blocks(texts, table.special, table.cache):
-                flat, n_bytes = table.decode_bytes(ids)
-                byte_at = np.concatenate([[0], np.cumsum(n_bytes)])[bounds].tolist()
-                wide = ids.astype("<u4")
-                raw, at = flat.tobytes(), bounds.tolist()
-                cols["n_tokens"] += np.diff(bounds).tolist()
-                cols["ids_sha256"] += [hashlib.sha256(wide[i:j]).hexdigest() for i, j in zip(at, at[1:])]
-                cols["decoded_sha256"] += [hashlib.sha256(raw[i:j].decode("utf-8", "replace").encode()).hexdigest()
-                                           for i, j in zip(byte_at, byte_at[1:])]
-                cols["round_trip"] += [raw[i:j] for i, j in zip(byte_at, byte_at[1:])]
-                if "ids" in own:
-                    id_parts.append(ids.astype(np.int32))
-                    bounds_all.append(bounds[1:] + bounds_all[-1][-1])
-            source = texts.to_pylist()
-            cols["round_trip"] = [d == (s or "").encode() for d, s in zip(cols["round_trip"], source)]
-            if "ids" in own:
-                flat_ids = np.concatenate(id_parts) if id_parts else np.zeros(0, np.int32)
-                cols["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate(bounds_all), pa.int32()), pa.array(flat_ids))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(c) for c in keep] + [c if isinstance(c, pa.Array) else pa.array(c, _TYPES[k][1])
-                                               for k, c in cols.items()], names=[*keep, *own])
+            for first, ids, bounds in tokenised_blocks(b.column("__text"), table.special, table.cache):
+                yield block(table, b.slice(first, len(bounds) - 1), ids, bounds)
+
+    def block(table, rows, ids, bounds):
+        """The result rows of one block of texts: only a block's ids and decoded bytes are held."""
+        flat, n_bytes = table.decode_bytes(ids)
+        byte_at = np.concatenate([[0], np.cumsum(n_bytes)])[bounds]
+        offsets, source = next((o, d) for _, o, d in text_blocks(rows.column("__text"), 1 << 62))
+        # alike as a whole, or else text by text
+        alike = len(flat) == len(source) and (byte_at == offsets).all() and bool((flat == source).all())
+        wide, raw, at, ends = ids.astype("<u4"), flat.tobytes(), bounds.tolist(), byte_at.tolist()
+        cols = {}
+        for c in own:
+            if c == "ids":
+                cols[c] = pa.ListArray.from_arrays(pa.array(bounds - bounds[0], pa.int32()), pa.array(ids.astype(np.int32)))
+            elif c == "n_tokens":
+                cols[c] = pa.array(np.diff(bounds), pa.int64())
+            elif c == "ids_sha256":
+                cols[c] = pa.array([hashlib.sha256(wide[i:j]).hexdigest() for i, j in zip(at, at[1:])], pa.string())
+            elif c == "decoded_sha256":
+                cols[c] = pa.array([hashlib.sha256(raw[i:j].decode("utf-8", "replace").encode()).hexdigest() for i, j in zip(ends, ends[1:])], pa.string())
+            else:
+                cols[c] = pa.array([True] * len(rows) if alike else [
+                    raw[i:j] == source[k:m].tobytes() for i, j, k, m in zip(ends, ends[1:], offsets.tolist(), offsets[1:].tolist())], pa.bool_())
+        return pa.RecordBatch.from_arrays([rows.column(c) for c in keep] + [cols[c] for c in own], names=[*keep, *own])
 
     return selected.mapInArrow(run, schema)

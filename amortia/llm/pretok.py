@@ -114,19 +114,19 @@ def word_starts(data: np.ndarray, offsets: np.ndarray, cls: np.ndarray | None =
 
 
 class WordCache:
-    """Ids of words by 64-bit hash. ``encode(list of bytes) -> (ids, counts)`` runs for words that
-    are new in this task only; the cache starts over when it holds ``limit`` words."""
+    """Ids of words by 64-bit hash, in sorted arrays. ``encode(list of bytes) -> (ids, counts)`` runs for words that
+    are new in this worker only; the cache starts over when it holds ``limit`` words (some 24 bytes each)."""
 
     def __init__(self, encode, limit: int = 400_000):
         self._encode, self._limit = encode, limit
         self._clear()
 
     def _clear(self):
-        self._at: dict[int, int] = {}
+        self._keys, self._slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self._ids = np.zeros(1 << 16, np.uint16)
         self._used = 0
-        self._start = np.zeros(1 << 16, np.int64)
-        self._count = np.zeros(1 << 16, np.int64)
+        self._start = np.zeros(1 << 16, np.int32)
+        self._count = np.zeros(1 << 16, np.int32)
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
@@ -140,18 +140,20 @@ class WordCache:
         # the length keeps words of leading table-zero bytes apart
         h = Spans(data).hash(starts, ends) + (ends - starts).astype(np.uint64)
         uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self._at) + len(uniq) > self._limit:
+        if len(self._keys) + len(uniq) > self._limit:
             self._clear()
-        get = self._at.get
-        keys = uniq.tolist()
-        slot = np.fromiter((get(k, -1) for k in keys), np.int64, len(keys))
+        place = np.searchsorted(self._keys, uniq)
+        slot = np.full(len(uniq), -1, np.int64)
+        inside = np.flatnonzero(place < len(self._keys))
+        hit = inside[self._keys[place[inside]] == uniq[inside]]
+        slot[hit] = self._slots[place[hit]]
         new = np.flatnonzero(slot < 0)
         if len(new):
             raw = data.tobytes()
             at = first[new]
             words = [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())]
             ids, counts = self._encode(words)
-            base = len(self._at)
+            base = len(self._keys)
             self._ids = self._room(self._ids, self._used + len(ids))
             self._start = self._room(self._start, base + len(new))
             self._count = self._room(self._count, base + len(new))
@@ -160,9 +162,10 @@ class WordCache:
             self._count[base:base + len(new)] = counts
             self._used += len(ids)
             slot[new] = np.arange(base, base + len(new))
-            self._at.update(zip((keys[i] for i in new.tolist()), range(base, base + len(new))))
+            self._keys = np.insert(self._keys, place[new], uniq[new])
+            self._slots = np.insert(self._slots, place[new], slot[new])
         word = slot[inverse]
-        counts = self._count[word]
+        counts = self._count[word].astype(np.int64)
         ends_out = np.cumsum(counts)
         total = int(ends_out[-1])
         src = np.arange(total, dtype=np.int64) + np.repeat(self._start[word] - (ends_out - counts), counts)
