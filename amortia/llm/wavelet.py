@@ -32,6 +32,7 @@ from amortia.llm.bpe import tokenised_blocks
 from amortia.llm.common import ship, shuffle_partitions, text_key
 
 BLOCK = 512
+STEP = 1 << 16
 _encoders: dict[str, tuple] = {}
 
 
@@ -39,13 +40,19 @@ _encoders: dict[str, tuple] = {}
 
 def build(ids: np.ndarray, levels: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Zeros per plane and the bits of each plane (bool arrays)."""
-    seq, zeros, planes = ids, np.zeros(levels, np.uint64), []
+    seq, other, zeros, planes = ids.copy(), np.empty_like(ids), np.zeros(levels, np.uint64), []
     for level in range(levels):
-        bit = (seq >> (levels - 1 - level)) & 1 == 1
+        bit = (seq & seq.dtype.type(1 << (levels - 1 - level))) != 0
         planes.append(bit)
-        low = seq[~bit]
-        zeros[level] = len(low)
-        seq = np.concatenate([low, seq[bit]])
+        low, high = 0, len(seq) - int(np.count_nonzero(bit))
+        zeros[level] = high
+        for i in range(0, len(seq), STEP):  # by places, which stay in the cache: masks of mixed bits are several times slower
+            part, at = seq[i:i + STEP], bit[i:i + STEP]
+            one, none = np.flatnonzero(at), np.flatnonzero(~at)
+            np.take(part, none, out=other[low:low + len(none)], mode="clip")
+            np.take(part, one, out=other[high:high + len(one)], mode="clip")
+            low, high = low + len(none), high + len(one)
+        seq, other = other, seq
     return zeros, planes
 
 
@@ -54,8 +61,11 @@ def pack(doc_ids: np.ndarray, nulls: np.ndarray, starts: np.ndarray, ids: np.nda
     parts = [b"WVM1", struct.pack("<IQQ", levels, len(ids), len(doc_ids)), zeros.astype("<u8").tobytes(),
              doc_ids.astype("<i8").tobytes(), nulls.astype(np.uint8).tobytes(), starts.astype("<u8").tobytes()]
     for bit in planes:
-        parts.append(np.packbits(bit).tobytes())
-        per_block = np.add.reduceat(bit, np.arange(0, len(bit), BLOCK), dtype=np.uint32) if len(bit) else np.zeros(0, np.uint32)
+        packed = np.packbits(bit)
+        parts.append(packed.tobytes())
+        whole = np.zeros(-(-len(packed) // (BLOCK // 8)) * (BLOCK // 8), np.uint8)
+        whole[:len(packed)] = packed
+        per_block = np.bitwise_count(whole.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint32)
         parts.append((np.cumsum(per_block) - per_block).astype("<u4").tobytes())
     return b"".join(parts)
 
@@ -144,8 +154,13 @@ class Shard:
             bit = np.unpackbits(self.planes[level], count=self.n).view(bool)
             z = int(self.zeros[level])
             out = np.empty_like(seq)
-            out[~bit] = seq[:z]
-            out[bit] = seq[z:] | seq.dtype.type(1 << (self.levels - 1 - level))
+            low, high, value = 0, z, seq.dtype.type(1 << (self.levels - 1 - level))
+            for i in range(0, self.n, STEP):
+                part, at = out[i:i + STEP], bit[i:i + STEP]
+                one, none = np.flatnonzero(at), np.flatnonzero(~at)
+                part[none] = seq[low:low + len(none)]
+                part[one] = seq[high:high + len(one)] | value
+                low, high = low + len(none), high + len(one)
             seq = out
         return seq
 
