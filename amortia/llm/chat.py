@@ -1,16 +1,21 @@
 """Tool-call linking for chat data.
 
 Calls and results are joined by identifier (conversation, call id), both sides aggregated to one row per identifier
-first. Calls that name a call they depend on are put in topological order: the depth of a call (its longest way back
-to a call without a parent) is found by pointer doubling, in a logarithmic number of joins; calls on a cycle, and those
-behind it, have no depth and come last. Inside a conversation calls are numbered by (depth, turn, call id): rows are
+first. Calls that name the calls they depend on are put in topological order, by the depth of a call: its longest way back
+to a call without a parent. With one parent a call (``depends_on`` is text) it is found by pointer doubling, in a logarithmic
+number of joins; with several (an array) layer by layer, one join a layer. Calls on a cycle, and those behind it, have no depth
+and come last. Inside a conversation calls are numbered by (depth, turn, call id): rows are
 range-partitioned on that order, numbered in their partition, and shifted by the counts of the partitions before, so a
 conversation with a third of all rows is spread over tasks. Arguments are validated against the tool's schema, and each
-linked call becomes one line of canonical JSON (sorted keys, no blanks, UTF-8).
+linked call becomes one line of canonical JSON (sorted keys, no blanks, UTF-8). A schema gives per parameter
+``(type, required)``, or a mapping with ``type``, ``required``, ``enum``, ``minimum``, ``maximum``, ``items`` (of an array)
+and ``properties`` (of an object).
 
 Cases: of several calls of one identifier the earliest stays and ``n_calls`` counts them; of several results the earliest
 stays; a result without a call is a row of status ``orphan_result``; a call without a result has ``no_result``; a parent that
-does not exist is ignored; null arguments, and text that is no JSON object, are invalid; an unknown tool is an error;
+does not exist is ignored; null arguments, and text that is no JSON object, are invalid, as are NaN, numbers beyond
+doubles and escaped halves of surrogate pairs, of which no canonical JSON is made (the message holds the text as it came); of a
+key that comes twice the last value counts and an error tells; an unknown tool is an error;
 null identifiers link with nothing; empty tables give no rows; extra columns are ignored.
 """
 
@@ -31,24 +36,77 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+class _NotFinite(ValueError):
+    pass
+
+
+def _finite(text: str) -> float:
+    v = float(text)
+    if v != v or v in (float("inf"), float("-inf")):
+        raise _NotFinite(text)
+    return v
+
+
+def _rules(spec) -> dict:
+    return spec if isinstance(spec, dict) else {"type": spec[0], "required": spec[1]}
+
+
+def _check(value, spec: dict, path: str, errors: list[str]) -> None:
+    """Errors of one value against its rules, nested ones with their path."""
+    kind = spec["type"]
+    if not isinstance(value, _TYPES[kind]) or (isinstance(value, bool) and kind in ("integer", "number")):
+        errors.append(f"type:{path}")
+        return
+    if "enum" in spec and value not in spec["enum"]:
+        errors.append(f"enum:{path}")
+    if ("minimum" in spec and value < spec["minimum"]) or ("maximum" in spec and value > spec["maximum"]):
+        errors.append(f"range:{path}")
+    if kind == "array" and "items" in spec:
+        for i, x in enumerate(value):
+            _check(x, _rules(spec["items"]), f"{path}[{i}]", errors)
+    if kind == "object" and "properties" in spec:
+        _members(value, spec["properties"], f"{path}.", errors)
+
+
+def _members(value: dict, schema: dict, path: str, errors: list[str]) -> None:
+    rules = {p: _rules(s) for p, s in schema.items()}
+    errors += [f"missing:{path}{p}" for p, s in rules.items() if s.get("required") and p not in value]
+    for p, v in value.items():
+        if p in rules:
+            _check(v, rules[p], f"{path}{p}", errors)
+        else:
+            errors.append(f"unknown:{path}{p}")
+
+
 def validate(arguments: str | None, schema: dict | None) -> tuple[object, list[str]]:
-    """Parsed arguments (None if they are no JSON object) and the errors against ``{parameter: (type, required)}``."""
+    """Parsed arguments (None if they are no JSON object, or none that has a canonical form) and the errors against the
+    schema ``{parameter: rules}``."""
+    twice: list[str] = []
+
+    def members(pairs):
+        out = dict(pairs)
+        if len(out) < len(pairs):
+            names = [k for k, _ in pairs]
+            twice.extend(sorted({k for k in names if names.count(k) > 1}))
+        return out
+
     try:
-        value = json.loads(arguments) if arguments is not None else None
+        value = json.loads(arguments, parse_constant=_finite, parse_float=_finite, object_pairs_hook=members) if arguments is not None else None
+        if isinstance(value, dict):
+            canonical(value).encode()
+    except _NotFinite:
+        return None, ["not_finite"]
+    except UnicodeEncodeError:
+        return None, ["not_unicode"]
     except (ValueError, RecursionError):
         value = None
     if not isinstance(value, dict):
         return None, ["not_an_object"]
+    errors = [f"repeated:{k}" for k in twice]
     if schema is None:
-        return value, ["unknown_tool"]
-    errors = [f"missing:{p}" for p, (_, required) in schema.items() if required and p not in value]
-    for p, v in value.items():
-        if p not in schema:
-            errors.append(f"unknown:{p}")
-            continue
-        kind = schema[p][0]
-        if not isinstance(v, _TYPES[kind]) or (isinstance(v, bool) and kind in ("integer", "number")):
-            errors.append(f"type:{p}")
+        return value, sorted([*errors, "unknown_tool"])
+    _members(value, schema, "", errors)
+    # names come from the text: halves of surrogate pairs were refused above
     return value, sorted(errors)
 
 
@@ -69,6 +127,31 @@ def depths(calls: DataFrame) -> DataFrame:
     return state.select("conv_id", "call_id", F.when(F.col("up").isNull(), F.col("way")).alias("depth"))
 
 
+def layered_depths(calls: DataFrame) -> DataFrame:
+    """(conv_id, call_id, depth) of calls with several parents (``depends_on``: array): a call is placed one layer behind the
+    last of its parents. A round joins the layer that was placed last with the calls that wait for it."""
+    ids = calls.select("conv_id", "call_id")
+    edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct(F.filter("depends_on", lambda x: x.isNotNull()))).alias("up"))
+    known = ids.select(F.col("conv_id").alias("p_conv"), F.col("call_id").alias("p_id"))
+    edges = staged(edges.join(known, (F.col("conv_id") == F.col("p_conv")) & (F.col("up") == F.col("p_id")), "left_semi"), "edges")
+    waits = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("waits"))
+    open_ = staged(waits, "waits")
+    layer = staged(ids.join(open_, ["conv_id", "call_id"], "left_anti").withColumn("depth", F.lit(0).cast("long")), "layer")
+    placed, k = [layer], 0
+    while not layer.isEmpty():
+        k += 1
+        done = layer.select(F.col("conv_id").alias("p_conv"), F.col("call_id").alias("p_id"))
+        met = edges.join(done, (F.col("conv_id") == F.col("p_conv")) & (F.col("up") == F.col("p_id"))).groupBy("conv_id", "call_id").agg(F.count("*").alias("met"))
+        rest = staged(open_.join(met, ["conv_id", "call_id"], "left").select("conv_id", "call_id", (F.col("waits") - F.coalesce("met", F.lit(0))).alias("waits")), "waits")
+        layer = staged(rest.where("waits = 0").select("conv_id", "call_id", F.lit(k).cast("long").alias("depth")), "layer")
+        open_ = rest.where("waits > 0")
+        placed.append(layer)
+    out = placed[0]
+    for p in placed[1:]:
+        out = out.unionByName(p)
+    return ids.join(out, ["conv_id", "call_id"], "left")
+
+
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
     """``calls(conv_id, call_id, turn, name, arguments, depends_on)`` and ``results(conv_id, call_id, turn, content)`` ->
     conv_id, call_id, turn, name, depth, ordinal, status, valid, errors, n_calls, message (canonical JSON)."""
@@ -79,7 +162,8 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> Data
         .select("conv_id", "call_id", "c.*", "n_calls"), "calls")
     r = (results.where("conv_id is not null and call_id is not null").groupBy(F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_id"))
          .agg(F.min(F.struct("turn", "content")).alias("r")))
-    d = depths(c).withColumnsRenamed({"conv_id": "d_conv", "call_id": "d_id"})
+    several = dict(calls.dtypes)["depends_on"].startswith("array")
+    d = (layered_depths if several else depths)(c).withColumnsRenamed({"conv_id": "d_conv", "call_id": "d_id"})
     linked = (c.join(d, (F.col("conv_id") == F.col("d_conv")) & (F.col("call_id") == F.col("d_id")))
               .join(r, (F.col("conv_id") == F.col("r_conv")) & (F.col("call_id") == F.col("r_id")), "full")
               .select(F.coalesce("conv_id", "r_conv").alias("conv_id"), F.coalesce("call_id", "r_id").alias("call_id"),
