@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from amortia.llm.bytesvec import LOWER, text_blocks
-from amortia.llm.common import ship, staged, text_key
+from amortia.llm.common import broadcast_if_small, ship, staged, text_key
 from amortia.llm.pretok import LETTER, byte_classes
 
 DIMENSIONS = 4096
@@ -93,10 +93,16 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE):
         df[r["d"]] = r["n"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32) + 1
 
+    # The rows of least hash. They lie under a cut that leaves some ``4 * sample`` rows a language, so what is ranked in one
+    # task does not grow with the language's rows.
+    sizes = staged(known.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "n_lang"), "sizes")
+    share = F.xxhash64("doc_id") / float(1 << 64) + 0.5
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "k")
-    chosen = (known.select("doc_id", "lang", text_key(F.col("text")).alias("k")).withColumn("r", F.row_number().over(order))
+    chosen = (known.select("doc_id", "lang", text_key(F.col("text")).alias("k"))
+              .join(broadcast_if_small(sizes), F.col("lang") == F.col("n_lang")).where(share * F.col("n") <= 4 * sample)
+              .withColumn("r", F.row_number().over(order))
               .where(F.col("r") <= sample).select(F.col("doc_id").alias("c_id"), F.col("lang").alias("c_lang"), F.col("k").alias("c_k")))
-    chosen = F.broadcast(staged(chosen, "sample"))  # at most ``sample`` rows a language
+    chosen = broadcast_if_small(staged(chosen, "sample"))  # at most ``sample`` rows a language, counted
     rows = known.join(chosen, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("lang") == F.col("c_lang")) & (text_key(F.col("text")) == F.col("c_k")), "left_semi")
 
     def embed(batches):
