@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from amortia.operators import clean, profile
-from amortia.plans.catalog import JOINED_CTE, region_case_sql, register, with_views
+from amortia.plans.catalog import JOINED_CTE, region_case_sql, register, standin, with_views
 from amortia.plans.q_core import joined
 from amortia.schemas import LABELS_OCCUPANCY
 
@@ -142,7 +142,7 @@ SELECT (SELECT count(*) FROM joined) AS rows_before, count(*) AS rows_after,
        (SELECT count(*) FROM joined) - count(*) AS duplicated_rows
 FROM (SELECT DISTINCT * EXCLUDE (row_key) FROM joined) d"""))
 def duplicate_count(spark, sf_dir):
-    return profile.duplicate_count(joined(spark, sf_dir).drop("row_key"))
+    return profile.duplicate_count(joined(spark, sf_dir).drop("row_key"), standin(spark, sf_dir).performance.count())
 
 
 @register("distinct_values", with_views(["performance"], "", """
