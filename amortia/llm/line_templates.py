@@ -53,11 +53,14 @@ def _templates(w: Column) -> Column:
 def parsed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, text_key and ``lines``: array of (place, n words, templates) of the lines with a word. No shuffle."""
     def parse(line, place):
-        low = F.lower(line)
-        # from the start of a word, without going back: linear in the line
-        masked = _words(F.regexp_replace(low, r"(?<![^\x09-\x0D\x20])[^\x09-\x0D\x200-9]*+[0-9][^\x09-\x0D\x20]*+", "<*>"))
-        # a line that is mostly variable has no template but itself
-        words = _let(masked, lambda m: F.when(2 * F.size(F.filter(m, lambda w: w == "<*>")) <= F.size(m), m).otherwise(_words(low)))
+        def generalised(low):
+            # from the start of a word, without going back: linear in the line
+            masked = _words(F.regexp_replace(low, r"(?<![^\x09-\x0D\x20])[^\x09-\x0D\x200-9]*+[0-9][^\x09-\x0D\x20]*+", "<*>"))
+            # a line that is mostly variable has no template but itself
+            return _let(masked, lambda m: F.when(2 * F.size(F.filter(m, lambda w: w == "<*>")) <= F.size(m), m).otherwise(_words(low)))
+
+        # without a digit a line's words are the same either way
+        words = _let(F.lower(line), lambda low: F.when(low.rlike("[0-9]"), generalised(low)).otherwise(_words(low)))
         return _let(words, lambda w: F.struct(place.alias("place"), F.size(w).alias("n"), F.when(F.size(w) > 0, _templates(w)).alias("templates")))
 
     return docs.where(F.col(text).isNotNull()).select(

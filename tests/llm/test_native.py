@@ -144,3 +144,16 @@ def test_proximity(spark):
     got = decontam.proximity_matches(documents(spark, texts), bench(spark, items), slop=3)
     keyed = {r.d for r in got.collect()}
     assert 1 in keyed and 2 not in keyed
+
+
+def test_lines_without_a_digit_skip_the_generalisation(spark):
+    # the words of a line are the same either way: also where the text itself holds the mark of a variable word
+    lines = ["plain words only here", "order 17 of 20 items shipped", "<*> <*> <*> x", "A9 B8 C7 x", "\tTABS and café ", "", "x٣y arabic digit"]
+    docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    parsed = line_templates.parsed_lines(docs)
+    got = [(x["place"], x["n"], x["templates"][0]) for x in parsed.first()["lines"]]
+    words = [["plain", "words", "only", "here"], ["order", "<*>", "of", "<*>", "items", "shipped"], ["<*>", "<*>", "<*>", "x"], ["a9", "b8", "c7", "x"],
+             ["tabs and", "café"], [], ["x٣y", "arabic", "digit"]]
+    want = spark.createDataFrame([(i, w) for i, w in enumerate(words) if w], "place int, w array<string>")
+    assert got == [tuple(r) for r in want.orderBy("place").selectExpr("place", "size(w)", "xxhash64(-1, w)").collect()]
+    assert "RLIKE" in parsed._jdf.queryExecution().toString().upper()
