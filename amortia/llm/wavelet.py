@@ -18,6 +18,7 @@ a hash of the text; an empty table gives no shard; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -167,6 +168,58 @@ class Shard:
 
 # ---- Spark jobs --------------------------------------------------------------------------------
 
+def _token_bytes(lib) -> np.ndarray | None:
+    """Bytes of each id's token; None if the vocabulary does not stand for the text's bytes one by one."""
+    spec = json.loads(lib.to_str())
+    if spec.get("normalizer") or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space"):
+        return None
+    added = {t["id"]: t["content"] for t in spec["added_tokens"]}
+    if any(" " in content or t.get("lstrip") or t.get("rstrip") for t, content in zip(spec["added_tokens"], added.values())):
+        return None
+    n = np.zeros(max([*spec["model"]["vocab"].values(), *added]) + 1, np.int64)
+    for token, i in spec["model"]["vocab"].items():
+        n[i] = len(token)
+    for i, content in added.items():
+        n[i] = len(content.encode())
+    return n
+
+
+def encode_joined(words: list[str], n_bytes: np.ndarray, single, token_bytes: np.ndarray | None, at_once: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """``(ids, counts)`` of words; ``single(texts) -> (ids, counts)`` is the library. A call on a word alone costs more than its
+    merges, so words of a blank and a run without white space are joined: the split takes each blank as a word's begin again. The
+    bytes of the ids tell where a word ends; texts whose ids do not end with every word are encoded word by word."""
+    counts = np.zeros(len(words), np.int64)
+    alone, joined = [], []
+    for i, w in enumerate(words):
+        (joined if w[:1] == " " and w.split() == [w[1:]] and "\u180e" not in w else alone).append(i)
+    if token_bytes is None:
+        alone, joined = list(range(len(words))), []
+    order, parts = [], []
+    groups = [joined[i:i + at_once] for i in range(0, len(joined), at_once)]
+    if groups:
+        ids, lengths = single(["".join([words[i] for i in g]) for g in groups])
+        for g, part in zip(groups, np.split(ids, np.cumsum(lengths)[:-1])):
+            ends, reached = np.cumsum(n_bytes[g]), np.cumsum(token_bytes[part])
+            last = np.searchsorted(reached, ends)
+            if len(part) and reached[-1] == ends[-1] and (reached[last] == ends).all():
+                counts[g] = np.diff(last, prepend=-1)
+                order += g
+                parts.append(part)
+            else:
+                alone += g
+    if alone:
+        ids, counts[alone] = single([words[i] for i in alone])
+        order += alone
+        parts.append(ids)
+    ids = np.concatenate(parts) if parts else np.zeros(0, np.uint16)
+    # from the order of the calls to that of the words
+    start = np.zeros(len(words), np.int64)
+    start[order] = np.cumsum(counts[order]) - counts[order]
+    ends = np.cumsum(counts)
+    src = np.arange(len(ids), dtype=np.int64) + np.repeat(start - (ends - counts), counts)
+    return ids[src], counts
+
+
 def _encoder(vocabulary: str):
     """Special tokens, number of ids and word cache of a vocabulary file; new words are encoded by
     the tokenizers library, in batches."""
@@ -179,10 +232,15 @@ def _encoder(vocabulary: str):
         lib.no_padding()
         special = {t.content.encode(): i for i, t in lib.get_added_tokens_decoder().items()}
 
-        def encode(words):
-            ids = [e.ids for e in lib.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        def single(texts):
+            ids = [e.ids for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
             return np.array([i for x in ids for i in x], np.uint16), np.array([len(x) for x in ids], np.int64)
 
+        token_bytes = _token_bytes(lib)
+
+        def encode(words):
+            return encode_joined([w.decode() for w in words], np.array([len(w) for w in words], np.int64), single, token_bytes)
+
         _encoders[vocabulary] = special, lib.get_vocab_size(), pretok.WordCache(encode)
     return _encoders[vocabulary]
 

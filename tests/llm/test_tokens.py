@@ -120,3 +120,28 @@ def test_shards_read_back(spark, tmp_path):
     empty = str(tmp_path / "none")
     wavelet.write_shards(spark.createDataFrame([], COLUMNS), empty, vocabulary())
     assert wavelet.read_documents(spark, empty).count() == 0
+
+
+def test_new_words_go_to_the_library_together():
+    # a call on each word alone was most of op10's time
+    sent = []
+
+    def single(texts):
+        sent.append(len(texts))
+        ids = [LIB.encode(t, add_special_tokens=False).ids for t in texts]
+        return np.array([i for x in ids for i in x], np.uint16), np.array([len(x) for x in ids], np.int64)
+
+    words = ["a", " b", " the", "\n", " ", "  ", " 's", "'s", " \x1cx", " ᠎x", " é漢😀", "ß", " 12", " !?", "<|endoftext|>", " <|endoftext|>", " a b", " x\x85"]
+    words += [f" word{i}"[:2 + i % 9] for i in range(300)] + [" " + chr(c) for c in range(0x21, 0x3100, 7)]
+    size = np.array([len(w.encode()) for w in words], np.int64)
+    length = wavelet._token_bytes(LIB)
+    for at_once in (1, 7, 512):
+        sent.clear()
+        ids, counts = wavelet.encode_joined(words, size, single, length, at_once)
+        each = np.split(ids, np.cumsum(counts)[:-1])
+        assert [x.tolist() for x in each] == [LIB.encode(w, add_special_tokens=False).ids for w in words]
+    assert sum(sent) < 0.3 * len(words)
+    wrong, _ = wavelet.encode_joined(words, size, single, length + 1, 7), sent.clear()  # lengths that do not add up: each word alone
+    assert wrong[0].tolist() == ids.tolist() and wrong[1].tolist() == counts.tolist()
+    assert wavelet.encode_joined(words, size, single, None)[0].tolist() == ids.tolist() and sent == [len(words)]
+    assert wavelet.encode_joined([], size[:0], single, length)[1].tolist() == []
