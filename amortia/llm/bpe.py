@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from amortia.llm import pretok
-from amortia.llm.bytesvec import text_blocks
-from amortia.llm.common import ship
+from amortia.llm.bytesvec import BLOCK_BYTES, SMALL_BLOCK, text_blocks
+from amortia.llm.common import give_back, ship
 
 _loaded: dict[str, "BytePairTable"] = {}
 NO_RANK = np.int64(1 << 40)
@@ -58,22 +58,22 @@ class BytePairTable:
         self.rank = np.full(size, -1, np.int64)
         self.left = np.arange(size)
         self.right = np.arange(size)
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
+        merge: dict[tuple[int, int], tuple[int, int]] = {}  # not kept: the sorted arrays below hold the same
         for r, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             a, b = (vocab[bytes(letters[c] for c in x)] for x in (a, b))
             ab = vocab[self.token_bytes[a] + self.token_bytes[b]]
-            if (a, b) in self.merge:
+            if (a, b) in merge:
                 continue
-            self.merge[a, b] = (r, ab)
+            merge[a, b] = (r, ab)
             if self.rank[ab] < 0:
                 self.rank[ab], self.left[ab], self.right[ab] = r, a, b
-        keys = np.array([a << 32 | b for a, b in self.merge], np.int64)
+        keys = np.array([a << 32 | b for a, b in merge], np.int64)
         order = np.argsort(keys)
         self._pair_keys = keys[order]
-        self._pair_ranks = np.array([r for r, _ in self.merge.values()], np.int64)[order]
+        self._pair_ranks = np.array([r for r, _ in merge.values()], np.int64)[order]
         self._merged = np.zeros(len(spec["model"]["merges"]), np.int64)
-        for r, ab in self.merge.values():
+        for r, ab in merge.values():
             self._merged[r] = ab
         known = list(vocab)
         at, token = self.exact(known)
@@ -236,6 +236,7 @@ def load(path: str) -> BytePairTable:
     if path not in _loaded:
         _loaded[path] = BytePairTable(path)
         _loaded[path].cache = pretok.WordCache(_loaded[path].encode_words)
+        give_back()
     return _loaded[path]
 
 
@@ -251,9 +252,9 @@ def special_spans(data: np.ndarray, offsets: np.ndarray, special) -> np.ndarray:
     return np.array(sorted(spans), np.int64).reshape(-1, 2).T
 
 
-def tokenised_blocks(texts: pa.Array, special, cache: pretok.WordCache):
+def tokenised_blocks(texts: pa.Array, special, cache: pretok.WordCache, block_bytes: int = BLOCK_BYTES):
     """Yield ``(first_row, ids, bounds)`` per block: text i of the block has ``ids[bounds[i]:bounds[i+1]]``."""
-    for first, offsets, data in text_blocks(texts):
+    for first, offsets, data in text_blocks(texts, block_bytes):
         begin, end = special_spans(data, offsets, special)
         starts = pretok.word_starts(data, np.unique(np.concatenate([offsets, begin, end])) if len(begin) else offsets)
         if len(begin):  # a special token is one word
@@ -291,8 +292,9 @@ def _encode(docs: DataFrame, vocabulary: str, text: str, keep: list[str], own: l
     def run(batches):
         table = load(vocabulary)
         for b in batches:
-            for first, ids, bounds in tokenised_blocks(b.column("__text"), table.special, table.cache):
+            for first, ids, bounds in tokenised_blocks(b.column("__text"), table.special, table.cache, SMALL_BLOCK):
                 yield block(table, b.slice(first, len(bounds) - 1), ids, bounds)
+        give_back()
 
     def block(table, rows, ids, bounds):
         """The result rows of one block of texts: only a block's ids and decoded bytes are held."""

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
+SMALL_BLOCK = 1 << 18  # for work that holds many numbers per byte
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -30,7 +31,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     kept = _powers.get("up")
     if kept is not None and len(kept) > n:
         return kept, _powers["down"]
-    size = max(n, BLOCK_BYTES) + 1
+    size = (SMALL_BLOCK if n <= SMALL_BLOCK else max(n, BLOCK_BYTES)) + 1
     out = []
     for base in (BASE, BASE_INV):
         p = np.full(size, base, np.uint64)

@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from amortia.llm.bytesvec import NOT_SPACE, Spans, lower_ascii, mix, text_blocks, word_spans
-from amortia.llm.common import broadcast_if_small, ship, shuffle_partitions, staged, text_key
+from amortia.llm.bytesvec import NOT_SPACE, SMALL_BLOCK, Spans, lower_ascii, mix, text_blocks, word_spans
+from amortia.llm.common import broadcast_if_small, give_back, ship, shuffle_partitions, staged, text_key
 from amortia.llm.components import components
 
 CHUNKS, WIDTH, ERRORS = 16, 7, 1
@@ -53,7 +53,7 @@ _LO, _HI = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 def shingle_blocks(texts: pa.Array, k: int):
     """Yield per block ``(first_row, rows, row, hash)``: the number of texts in the block and the distinct
     shingles of each, sorted by row and hash."""
-    for first, offsets, data in text_blocks(texts):
+    for first, offsets, data in text_blocks(texts, SMALL_BLOCK):
         low = lower_ascii(data)
         row, start, end = word_spans(low, offsets, NOT_SPACE)
         words = mix(Spans(low).hash(start, end) + (end - start).astype(np.uint64)) if len(start) else np.zeros(0, np.uint64)
@@ -106,6 +106,7 @@ def signatures(docs: DataFrame, k: int, text: str = "text") -> DataFrame:
                      pa.array(np.concatenate(lo_all).view(np.int64)), pa.array(np.concatenate(hi_all).view(np.int64)),
                      pa.array(sig_all, pa.binary())],
                     names=["doc_id", "text_key", "n_shingles", "set_lo", "set_hi", "sig"])
+        give_back()
 
     return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_lo long, set_hi long, sig binary")
 
@@ -125,6 +126,7 @@ def _index_keys(classes: DataFrame) -> DataFrame:
                     for i in kept:
                         key = mix(key << np.uint64(16) ^ key ^ sig[:, c, i])
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node)], names=["key", "node"])
+        give_back()
 
     spread = classes.select("node", "sig").repartition(shuffle_partitions(classes.sparkSession), "node")  # a small table, many keys
     return spread.mapInArrow(run, "key long, node long")
@@ -143,6 +145,7 @@ def _close(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame
             sa, sb = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for c in ("sa", "sb"))
             near = (sa != sb).sum(1) <= FAR
             yield pa.RecordBatch.from_arrays([x.column(c).filter(pa.array(near)) for c in "ab"], names=["a", "b"])
+        give_back()
 
     return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
@@ -161,6 +164,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= percent * (len(both) - common))
             yield pa.RecordBatch.from_arrays([x.column(c).filter(pa.array(keep, pa.bool_())) for c in "ab"], names=["a", "b"])
+        give_back()
 
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
@@ -178,6 +182,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int, text: str) -> DataFrame
                 cut = np.searchsorted(r, np.arange(n + 1))
                 blobs += [h[i:j].tobytes() for i, j in zip(cut.tolist(), cut[1:].tolist())]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(blobs, pa.binary())], names=["node", "shingles"])
+        give_back()
 
     return rows.mapInArrow(run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
@@ -315,6 +320,7 @@ def _dead_weight(members: DataFrame, sets: DataFrame) -> DataFrame:
             if blobs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(b.column("node")), [len(x) for x in blobs])), pa.array(np.concatenate(blobs))],
                                                  names=["node", "shingle"])
+        give_back()
 
     nodes = members.select("node").distinct()
     own = (sets.join(nodes, "node", "left_semi").mapInArrow(explode, "node long, shingle long").groupBy("shingle")

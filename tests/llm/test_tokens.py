@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -10,8 +11,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from amortia.llm import bpe, pretok, wavelet
-from amortia.llm.bytesvec import text_blocks
+from amortia.llm import bpe, near_dup, pretok, wavelet
+from amortia.llm.bytesvec import SMALL_BLOCK, text_blocks
 
 from .helpers import COLUMNS, documents, odd_texts, vocabulary
 
@@ -145,3 +146,31 @@ def test_new_words_go_to_the_library_together():
     assert wrong[0].tolist() == ids.tolist() and wrong[1].tolist() == counts.tolist()
     assert wavelet.encode_joined(words, size, single, None)[0].tolist() == ids.tolist() and sent == [len(words)]
     assert wavelet.encode_joined([], size[:0], single, length)[1].tolist() == []
+
+
+def peak_mb(work):
+    tracemalloc.start()
+    try:
+        kept = work()
+        return [n / 1e6 for n in tracemalloc.get_traced_memory()], kept
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_table_keeps_arrays_only():
+    (held, _), _ = peak_mb(lambda: bpe.BytePairTable(vocabulary()))
+    assert held < 15  # with the dictionary of merges it was 19
+
+
+def test_small_blocks_hold_little_at_a_time():
+    rng = random.Random(5)
+    words = ["w" + str(rng.randint(0, 3000)) for _ in range(400_000)]
+    texts = pa.array([" ".join(words[i:i + 200]) for i in range(0, len(words), 200)])
+    table = bpe.load(vocabulary())
+    for _ in near_dup.shingle_blocks(texts, 5):  # tables of hashes are kept from here on
+        pass
+    (_, most), _ = peak_mb(lambda: [0 for _ in near_dup.shingle_blocks(texts, 5)])
+    assert most < 20
+    (_, most), _ = peak_mb(lambda: [0 for _ in bpe.tokenised_blocks(texts, table.special, table.cache, SMALL_BLOCK)])
+    assert most < 30
+    assert encoded(texts[:300].to_pylist()) == [LIB.encode(t, add_special_tokens=False).ids for t in texts[:300].to_pylist()]
